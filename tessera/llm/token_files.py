@@ -1,9 +1,10 @@
 """Token ids as Arrow files of fixed-size lists.
 
 Documents are range-partitioned by id and sorted; each partition packs its ids into rows of SEQUENCE ids, written as
-record batches of two fixed-size-list columns, ids and mask, to one file in Arrow's file format. Any sequence can be
-read by memory-mapping the file and slicing one batch. The mask holds 0 for padding, 1 for an id, 2 for a document's
-last id. A second file beside it holds the documents' ids in the same order.
+record batches of fixed-size-list columns to one file in Arrow's file format: ids, in the smallest unsigned type that
+holds the vocabulary; mask, true where there is an id and false for padding; and last, true at a document's last id,
+both one bit a place. Any sequence can be read by memory-mapping the file and slicing one batch. A second file beside it
+holds the documents' ids in the same order.
 """
 
 from __future__ import annotations
@@ -29,13 +30,13 @@ CACHE = 600_000
 MANIFEST = "part int, tokens string, documents string, n_docs long, n_tokens long"
 
 
-def schemas(sequence: int) -> tuple[pa.Schema, pa.Schema]:
-    ids = pa.schema([pa.field("ids", pa.list_(pa.uint32(), sequence), False), pa.field("mask", pa.list_(pa.uint8(), sequence), False)])
-    return ids, pa.schema([pa.field("doc_id", pa.int64())])
+def schemas(sequence: int, wide: bool) -> tuple[pa.Schema, pa.Schema]:
+    lists = (("ids", pa.uint32() if wide else pa.uint16()), ("mask", pa.bool_()), ("last", pa.bool_()))
+    return pa.schema([pa.field(name, pa.list_(kind, sequence), False) for name, kind in lists]), pa.schema([pa.field("doc_id", pa.int64())])
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes, by the tokenizers library.
+    """Ids of texts as little-endian bytes of 2 or 4 each, by the tokenizers library.
 
     The library's normalizer and pre-tokenizer never join what a blank separates, so each blank-separated piece is
     encoded once and its ids are remembered. Printable Latin pieces in composed form are lower-cased and cut by the
@@ -52,6 +53,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.code = "I" if self.wide else "H"
         self.cut = regex.compile(self.PATTERN).findall
         self.beyond = regex.compile(r"[^\x00-\u024f]|<\|").search
         self.known: dict[str, bytes] = {}
@@ -63,7 +66,7 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         if (got := self.words.get(word)) is None:
             plain = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            got = self.words[word] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+            got = self.words[word] = array(self.code, [t.id for t in self.model.tokenize(plain)]).tobytes()
         return got
 
     def _learn(self, new: set[str]) -> None:
@@ -79,7 +82,7 @@ class Encoder:
             else:
                 rest.append(piece)
         for got, piece in zip(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), rest, strict=True):
-            known[piece] = np.asarray(got.ids, "<u4").tobytes()
+            known[piece] = array(self.code, got.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").split(" ") for t in texts]
@@ -93,12 +96,13 @@ class Encoder:
 class Packer:
     """Writes documents' ids to the two files of a part; they appear under their names only when complete."""
 
-    def __init__(self, folder: str, part: int, attempt: str, sequence: int) -> None:
+    def __init__(self, folder: str, part: int, attempt: str, sequence: int, wide: bool) -> None:
         from pyarrow import fs
 
         self.fs, root = fs.FileSystem.from_uri(folder)
         self.fs.create_dir(root, recursive=True)
-        self.sequence, self.ids, self.docs = sequence, *schemas(sequence)
+        self.sequence, self.ids, self.docs = sequence, *schemas(sequence, wide)
+        self.kind = np.dtype(np.uint32 if wide else np.uint16)
         self.names = [f"{root}/tokens-{part:06d}.arrow", f"{root}/documents-{part:06d}.arrow"]
         self.temporary = [f"{n}.{attempt}" for n in self.names]
         self.sinks = [self.fs.open_output_stream(n) for n in self.temporary]
@@ -108,25 +112,25 @@ class Packer:
         self.n_held = self.n_tokens = self.n_docs = 0
 
     def add(self, doc_ids: list, encoded: list[bytes]) -> None:
-        end = np.asarray([END_ID], "<u4").tobytes()
+        end, size = np.asarray([END_ID], self.kind).tobytes(), self.kind.itemsize
         for x in encoded:
             self.held += (x, end)
-            self.marks += (b"\x01" * (len(x) // 4), b"\x02")
-            self.n_held += len(x) // 4 + 1
+            self.marks += (bytes(len(x) // size), b"\x01")
+            self.n_held += len(x) // size + 1
         self.n_docs += len(doc_ids)
         self.writers[1].write_batch(pa.record_batch([pa.array(doc_ids, pa.int64())], schema=self.docs))
         if self.n_held >= self.sequence * BATCH:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids, marks = np.frombuffer(b"".join(self.held), "<u4"), np.frombuffer(b"".join(self.marks), np.uint8)
+        ids, marks = np.frombuffer(b"".join(self.held), self.kind), np.frombuffer(b"".join(self.marks), np.uint8)
         block = self.sequence * BATCH
         whole = len(ids) if last else len(ids) // block * block
         for at in range(0, whole, block):
             x, m = ids[at : min(at + block, whole)], marks[at : min(at + block, whole)]
             pad = -len(x) % self.sequence
-            x, m = np.pad(x, (0, pad)), np.pad(m, (0, pad))
-            columns = [pa.FixedSizeListArray.from_arrays(pa.array(v, k), self.sequence) for v, k in ((x, pa.uint32()), (m, pa.uint8()))]
+            flat = (np.pad(x, (0, pad)), np.arange(len(x) + pad) < len(x), np.pad(m, (0, pad)).astype(bool))
+            columns = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.sequence) for v in flat]
             self.writers[0].write_batch(pa.record_batch(columns, schema=self.ids))
         self.n_tokens += whole
         self.held, self.marks, self.n_held = [ids[whole:].tobytes()], [marks[whole:].tobytes()], len(ids) - whole
@@ -158,7 +162,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, sequence: int = SEQUEN
         encoder, packer = Encoder(path), None
         for batch in batches:
             for piece in pieces(batch, 1):
-                packer = packer or Packer(folder, task.partitionId(), str(task.taskAttemptId()), sequence)
+                packer = packer or Packer(folder, task.partitionId(), str(task.taskAttemptId()), sequence, encoder.wide)
                 packer.add(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()))
         if packer:
             (tokens, documents), n_docs, n_tokens = packer.close()
@@ -190,7 +194,7 @@ def open_file(uri: str) -> pa.ipc.RecordBatchFileReader:
 def read_sequence(uri: str, i: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and mask of a part's i-th sequence, without reading the others."""
     batch = open_file(uri).get_batch(i // BATCH)
-    return tuple(batch.column(k)[i % BATCH].values.to_numpy() for k in (0, 1))
+    return tuple(batch.column(k)[i % BATCH].values.to_numpy(zero_copy_only=k == 0) for k in (0, 1))
 
 
 def _digest(tokens: str, documents: str, start: int) -> Iterator[pa.RecordBatch]:
@@ -199,9 +203,10 @@ def _digest(tokens: str, documents: str, start: int) -> Iterator[pa.RecordBatch]
     crc = length = 0
     for k in range(reader.num_record_batches):
         batch = reader.get_batch(k)
-        ids, mask = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy()
+        ids, mask, last = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in range(3))
+        ids = ids.astype("<u4")
         out, begin = [], 0
-        for stop in (np.flatnonzero(mask == 2) + 1).tolist():
+        for stop in (np.flatnonzero(last) + 1).tolist():
             crc, length = zlib.crc32(ids[begin:stop], crc), length + stop - begin
             out.append((next(wanted), start, length, crc))
             start, begin, crc, length = start + length, stop, 0, 0

@@ -91,7 +91,7 @@ def test_components(spark):
 def test_mix(spark, docs, empty):
     got = mixing.plan_mix(docs, rows_per_range=7).select("doc_id", "size", "source_size", "target", "taken")
     con = duckdb.connect()
-    con.register("documents", docs.toPandas())
+    con.register("documents", docs.toArrow())
     assert rows_of(got) == sorted(map(tuple, con.sql(mixing.ORACLE).fetchall()), key=str)
     assert mixing.plan_mix(empty).count() == 0 == mixing.mix(empty).count()
     per = mixing.plan_mix(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g"), F.max("source_size").alias("s")).collect()
@@ -276,4 +276,4 @@ def test_encoder_of_random_strings():
     path = public_tokenizers.path("word_bpe_49k.json")
     own, encoder, r = Tokenizer.from_file(path), token_files.Encoder(path), random.Random(3)
     texts = ["".join(r.choice("abÀé́İ '\n\t 1日 !<|> 　sll.,\x1c") for _ in range(r.randint(0, 40))) for _ in range(2000)] + ["<|endoftext|>a b<|startoftext|>"]
-    assert encoder.encode(texts) == [np.asarray(e.ids, "<u4").tobytes() for e in own.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == [np.asarray(e.ids, "<u2").tobytes() for e in own.encode_batch(texts, add_special_tokens=False)]
