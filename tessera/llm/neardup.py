@@ -5,8 +5,9 @@ kept, which gives twice as many unbiased signature values as hash evaluations. B
 full sets confirm them, and confirmed links are joined to components.
 
 Equal sets are one representative from the start. A bucket never emits all its pairs: each round links its members to
-one centre of the bucket, and members that are connected by then need no further comparison. Only what is left open
-after ROUNDS rounds is compared pair by pair, so no link between members of different components is missed.
+one centre of the bucket, and members that are connected by then need no further comparison. What is left open after
+ROUNDS rounds is joined on its rarest shingles under an exact bound, so no link between members of different
+components is missed.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bound_batches, forget, keep, pieces, shared_dir
@@ -27,8 +28,8 @@ PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Star rounds before the open rest is compared pair by pair.
-ROUNDS = 3
+#: Star rounds before the open rest is joined on its rare shingles.
+ROUNDS = 2
 CACHE = 600_000
 #: Shingles hashed under all permutations at a time.
 CHUNK = 16_384
@@ -164,28 +165,53 @@ def _label(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of buckets whose members are of two components or more."""
+    still = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
+    return rows.join(still, "key", "left_semi")
+
+
+def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """A pair for each id: with the centre, of those of its buckets, that comes first in this turn's order."""
+    rank = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
+    centre = rows.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("z"), F.col("c").alias("cz")), rank).alias("x"), F.min(rank).alias("rank"))
+    met = rows.join(centre.select("key", "x.z", "x.cz", "rank"), "key").filter("id <> z and c <> cz")
+    return met.groupBy("id").agg(F.min_by("z", "rank").alias("z")).select(F.least("id", "z").alias("a"), F.greatest("id", "z").alias("b")).distinct()
+
+
+def _prefix_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of different components among the texts of rows (key, id, c) that can be similar enough.
+
+    Shingles are ordered from rare to frequent among these texts. Two sets of sizes n and m that are similar enough
+    have an overlap of at least PERCENT / (100 + PERCENT) of n + m, so their first common shingle stands so early in
+    both that what follows can still make up that overlap. Only shingles early enough are joined on; those that texts
+    of a single component share are left out. The bound is exact: no link is lost, whatever a bucket's size.
+    """
+    nodes = keep(rows.groupBy("id").agg(F.min("c").alias("c")), "neardup-open")
+    mine = keep(sets.join(nodes, "id").select("id", "c", "n", "shingles", F.xxhash64("shingles").alias("set")), "neardup-open-sets")
+    flat = mine.select("id", "set", "c", "n", F.explode("shingles").alias("key"))
+    spread = flat.groupBy("key").agg(F.count(F.lit(1)).alias("df"), (F.min("c") != F.max("c")).alias("open"))
+    order = Window.partitionBy("id", "set").orderBy("df", "key")
+    early = flat.join(spread, "key").withColumn("at", F.row_number().over(order))
+    early = early.filter(F.col("open") & ((F.col("n") - F.col("at") + 1) * 100 >= F.col("n") * PERCENT))
+    early = keep(_open(early.select("key", "id", "c", "n", "at")), "neardup-early")
+    other = early.select("key", *[F.col(x).alias(f"{x}2") for x in ("id", "c", "n", "at")])
+    most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + 1
+    can = (F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & (most * (100 + PERCENT) >= (F.col("n") + F.col("n2")) * PERCENT)
+    return early.join(other, (early["key"] == other["key"]) & can).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+
 def linked(buckets: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Components of the confirmed links between members (key, id) of the same bucket."""
-    links = None
-    rows = buckets.withColumn("c", F.col("id"))
+    """Components of the confirmed links between members (key, id) of the same bucket: id, component."""
+    links, found, rows = None, None, buckets.withColumn("c", F.col("id"))
     for turn in range(rounds + 1):
-        spread = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by("id", F.xxhash64(F.lit(turn), "id")).alias("centre"), F.min("id").alias("least"))
-        open_ = rows.join(spread.filter("c0 <> c1"), "key")
-        if turn < rounds:
-            centre = F.col("least") if turn == 0 else F.col("centre")
-            at = open_.withColumn("z", centre)
-            own = at.filter("id = z").select("key", F.col("c").alias("cz"))
-            pairs = at.join(own.groupBy("key").agg(F.min("cz").alias("cz")), "key").filter("id <> z and c <> cz").select(F.least("id", "z").alias("a"), F.greatest("id", "z").alias("b")).distinct()
-        else:
-            some = keep(open_.select("key", "id", "c"), "neardup-open")
-            other = some.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"))
-            pairs = some.join(other, "key").filter("id < id2 and c <> c2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+        pairs = _star_pairs(rows, turn) if turn < rounds else _prefix_pairs(rows, sets)
         got = confirm(pairs, sets)
         links = keep(got if links is None else links.unionByName(got).distinct(), "neardup-links")
         found = components(links).checkpoint()
         if turn < rounds:
-            rows = keep(_label(buckets, found), "neardup-rows")
-            if rows.groupBy("key").agg((F.min("c") != F.max("c")).alias("open")).filter("open").isEmpty():
+            rows = keep(_open(_label(rows.drop("c"), found)), "neardup-rows")
+            if rows.isEmpty():
                 break
     return found
 
