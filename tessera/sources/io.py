@@ -23,8 +23,9 @@ def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows of a log whose last line may be cut, and the lines that can't be read (column line)."""
-    df = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return df.filter("_bad is null").drop("_bad"), spark.read.text(path).withColumnRenamed("value", "line").join(df.filter("_bad is not null").select(F.col("_bad").alias("line")).distinct(), "line", "left_semi")
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    rows = lines.select("value", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return rows.filter("r._bad is null").select("r.*").drop("_bad"), rows.filter("r._bad is not null").select(F.col("value").alias("line"))
 
 
 def done_counts(log: DataFrame) -> DataFrame:
