@@ -160,12 +160,13 @@ class Model:
     """Lexicon, trees and calibration of one fit."""
 
     def __init__(self, lexicon: dict[str, float], x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> None:
-        self.lexicon = lexicon
+        self.lexicon, self.trees = lexicon, None
+        if not len(y):
+            return
         fitted = fold != 1 if len(set(y[fold == 1])) > 1 else np.ones(len(y), bool)
         self.trees = Trees().fit(x[fitted], y[fitted])
         held = ~fitted if (~fitted).any() else fitted
-        self.steps, self.values = isotonic(self.trees.score(x[held]), y[held]) if len(y) else (np.zeros(1), np.zeros(1))
-        self.trees = self.trees if len(y) else None
+        self.steps, self.values = isotonic(self.trees.score(x[held]), y[held])
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:
