@@ -13,6 +13,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -93,6 +94,12 @@ class Encoder:
         return [b"".join(map(known, words)) for words in split]
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> Encoder:
+    """One encoder for all tasks that a Python worker runs; its caches stay bounded by CACHE."""
+    return Encoder(path)
+
+
 class Packer:
     """Writes documents' ids to the two files of a part; they appear under their names only when complete."""
 
@@ -159,7 +166,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, sequence: int = SEQUEN
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        encoder, packer = Encoder(path), None
+        encoder, packer = worker_encoder(path), None
         for batch in batches:
             for piece in pieces(batch, 1):
                 packer = packer or Packer(folder, task.partitionId(), str(task.taskAttemptId()), sequence, encoder.wide)
