@@ -10,8 +10,11 @@ have not seen.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import accumulate, compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +41,18 @@ SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch
 SWAPS = str.maketrans("013457@$!|", "oieastasil")
 FEATURES = ("any", "share", "count", "strong", "near_you", "run", "swapped", "caps", "upper_words", "exclaim", "punctuation", "length")
 _WORDS = re.compile(r"[^\W_]+(?:[@$!|*'.-][^\W_]+)*|[@$!|*][^\W_]+", re.UNICODE)
+_RUN = re.compile(r"(.)\1{2,}")
 NEAR = 4
-CACHE = 400_000
+SHORTEST = min(STEMS)
+#: What is read of a piece with one plain word, in small letters and in capitals.
+_ONE, _ONE_UPPER = (1, 0, (), ()), (1, 1, (), ())
+#: Pieces between blanks that a worker remembers, and the length up to which it does.
+CACHE, LONG = 400_000, 64
 
 
 def plain(word: str) -> str:
     """A word in lower case, without marks inside it, substituted characters undone, longer runs of a letter cut to two."""
-    return re.sub(r"(.)\1{2,}", r"\1\1", re.sub(r"[*'.\-_]", "", word.lower().translate(SWAPS)))
+    return _RUN.sub(r"\1\1", re.sub(r"[*'.\-_]", "", word.lower().translate(SWAPS)))
 
 
 def stems(word: str) -> list[str]:
@@ -52,41 +60,76 @@ def stems(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in STEMS if len(word) >= n)]
 
 
+@cache
+def _capitals() -> np.ndarray:
+    """Whether each code point is a capital."""
+    return np.array([chr(i).isupper() for i in range(0x110000)])
+
+
 class Features:
-    """Features of texts by a lexicon {candidate: weight}."""
+    """Features of texts by a lexicon {candidate: weight}.
+
+    No word reaches over a blank, so a text is read piece by piece between blanks, and what a piece holds is remembered.
+    """
 
     def __init__(self, lexicon: dict[str, float]) -> None:
-        self.lexicon, self.known = lexicon, {}
+        self.lexicon, self.known = lexicon, _Pieces(self._read)
+        #: What each word of the lexicon begins with, whole where it is shorter.
+        self.heads = {s.removeprefix("=")[:SHORTEST] for s in lexicon}
 
     def _weigh(self, word: str) -> tuple[float, bool]:
         """A word's weight in the lexicon, and whether only the undone spelling has it."""
-        if (got := self.known.get(word)) is None:
+        own = max((self.lexicon.get(s, 0.0) for s in stems(word.lower())), default=0.0)
+        undone = own or max((self.lexicon.get(s, 0.0) for s in stems(plain(word))), default=0.0)
+        return undone, undone > own
+
+    def _read(self, piece: str) -> tuple[int, int, tuple, tuple]:
+        """Of a piece: words, words in capitals, lexicon words (place, weight, only undone, word) and places of second persons."""
+        word = piece.rstrip(".,;:!?")
+        if word.isalpha():  # one word, which its undone spelling equals unless a letter runs on
             low = word.lower()
-            own = max((self.lexicon.get(s, 0.0) for s in stems(low)), default=0.0)
-            undone = own or max((self.lexicon.get(s, 0.0) for s in stems(plain(word))), default=0.0)
-            got = self.known[word] = (undone, undone > own)
-        return got
+            if low[:SHORTEST] not in self.heads and low not in SECOND and not _RUN.search(low):
+                return _ONE_UPPER if len(word) > 1 and word.isupper() else _ONE
+        words = _WORDS.findall(piece)
+        hits = tuple((i, w, undone, x.lower()) for i, x in enumerate(words) for w, undone in [self._weigh(x)] if w)
+        return len(words), sum(x.isupper() and len(x) > 1 for x in words), hits, tuple(i for i, x in enumerate(words) if x.lower() in SECOND)
 
     def one(self, text: str | None) -> list[float]:
         text = text or ""
-        words = _WORDS.findall(text)
         forget(self.known, CACHE)
-        n = max(1, len(words))
-        weighed = list(map(self._weigh, words))
-        hits = [i for i, (w, _) in enumerate(weighed) if w]
-        near = sum(any(words[j].lower() in SECOND for j in range(max(0, i - NEAR), min(len(words), i + NEAR + 1))) for i in hits)
-        total = sum(weighed[i][0] for i in hits)
-        size = max(1, len(text))
+        sizes, uppers, hit, second = zip(*map(self.known.__getitem__, text.split()), strict=True) if text.strip() else ((), (), (), ())
+        n_words = sum(sizes)
+        n, size = max(1, n_words), max(1, len(text))
+        found, near = [], 0
+        if any(hit):
+            starts = list(accumulate(sizes, initial=0))
+            found = [(starts[k] + i, *rest) for k in compress(range(len(hit)), hit) for i, *rest in hit[k]]
+            you = [starts[k] + i for k in compress(range(len(second)), second) for i in second[k]]
+            near = sum(bisect_left(you, i - NEAR) < bisect_right(you, i + NEAR) for i, *_ in found)
+        caps = int(_capitals()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].sum())
         return [
-            float(len({words[i].lower() for i in hits})), len(hits) / n, float(len(hits)), max((weighed[i][0] for i in hits), default=0.0),
-            near / n, total / n, sum(weighed[i][1] for i in hits) / n, sum(map(str.isupper, text)) / size,
-            sum(w.isupper() and len(w) > 1 for w in words) / n, (text.count("!") + text.count("?")) / size, sum(map(text.count, ".,;:")) / size, float(np.log1p(len(words))),
+            float(len({w for *_, w in found})), len(found) / n, float(len(found)), max((w for _, w, *_ in found), default=0.0),
+            near / n, sum(w for _, w, *_ in found) / n, sum(u for *_, u, _ in found) / n, caps / size,
+            sum(uppers) / n, (text.count("!") + text.count("?")) / size, sum(map(text.count, ".,;:")) / size, float(np.log1p(n_words)),
         ]
 
     def table(self, texts: list[str | None]) -> np.ndarray:
         return np.array([self.one(t) for t in texts], float).reshape(-1, len(FEATURES))
 
 
+class _Pieces(dict):
+    """What read says of each piece; long pieces are read anew each time."""
+
+    def __init__(self, read: Callable[[str], tuple]) -> None:
+        self.read = read
+
+    def __missing__(self, piece: str) -> tuple:
+        got = self.read(piece)
+        if len(piece) <= LONG:
+            self[piece] = got
+        return got
+
+
 class Trees:
     """Boosted regression trees on logistic loss. A tree is complete: 2**DEPTH leaves, a split per inner node."""
 
