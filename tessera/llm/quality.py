@@ -3,7 +3,7 @@
 Five measures of a document are sketched per (lang, source) in logarithmic bins: a bin's count is the sketch, so
 sketches of parts, sources or days merge by addition, in any order, with the same result, and a quantile is known
 within a relative error of half a bin. A document fails where a measure lies far outside the middle half of its
-group. Groups with few documents borrow the merged sketch of their language, small languages that of the corpus.
+group: lengths by ratio, in bins, shares by difference, as a ratio to a median of 0 means nothing. Groups with few documents borrow the merged sketch of their language, small languages that of the corpus.
 """
 
 from __future__ import annotations
@@ -23,15 +23,18 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 MIN_GROUP = 200
 #: Bins per factor of two, so a quantile is within 3 % of an exact one.
 STEPS = 12
-#: Fence: beyond this many times the distance from the median to the 90 % quantile, measured in bins, above the median.
-REACH = 3.0
+#: Fence: beyond this many times the distance from the median to the 90 % quantile. That distance is TAIL times the one
+#: to a quartile (lengths, in bins) or the median distance (shares), as in a normal spread, so junk doesn't move it.
+REACH, TAIL = 3.0, 1.9
 #: A fence is never nearer to the median than this factor (in bins: two doublings).
 LEAST = 2 * STEPS
 #: Shares are taken per 10,000 words, and shares below this many are never too many.
 SHARE, FREE_SHARE = 10_000, 500
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Measures that have a fence above; word_length has one below too.
-MEASURES = ("word_length", "symbol_share", "dup_line_share", "repeat_share", "words")
+LENGTHS = ("word_length", "words")
+#: The share that can still fail by a fence: base rules take what repeats more. Marks have no end; one a word is taken.
+CEILING = {"symbol_share": SHARE, "dup_line_share": SHARE, "repeat_share": MAX_REPEAT_PERCENT * SHARE // 100}
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[*b"#*$%&|<>"]] = True
@@ -98,6 +101,11 @@ def _bin(value: Column) -> Column:
     return F.round(F.log2(value + F.lit(1.0)) * STEPS).cast("int")
 
 
+def _value(at: Column) -> Column:
+    """The middle of a bin in the measure's own unit."""
+    return F.pow(F.lit(2.0), at / STEPS) - 1
+
+
 def sketch(rows: DataFrame) -> DataFrame:
     """Sketches of rows (lang, source, BASE): lang, source, measure, bin, n. Sketches merge by summing n.
 
@@ -109,27 +117,32 @@ def sketch(rows: DataFrame) -> DataFrame:
 
 
 def _quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Median and outer quantiles, in bins, of each key and measure, with the number of documents."""
+    """Quartiles in bins and median distance from the median, in the measure's unit, of each key and measure, with the number of documents."""
     merged = sketches.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")
-    up = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = merged.withColumn("below", F.sum("n").over(up)).withColumn("total", F.sum("n").over(group))
-    at = lambda q: F.min(F.when(F.col("below") >= F.col("total") * q, F.col("bin")))
-    return ranked.groupBy(*keys, "measure").agg(at(0.1).alias("low"), at(0.5).alias("mid"), at(0.9).alias("high"), F.max("total").alias("total"))
+    up = lambda c: F.sum("n").over(group.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+    at = lambda c, below, q: F.min(F.when(F.col(below) >= F.col("total") * q, F.col(c)))
+    ranked = merged.withColumn("below", up("bin")).withColumn("total", F.sum("n").over(group))
+    ranked = ranked.withColumn("off", F.abs(_value(F.col("bin")) - _value(at("bin", "below", 0.5).over(group))))
+    ranked = ranked.withColumn("nearer", up("off"))
+    return ranked.groupBy(*keys, "measure").agg(*[at("bin", "below", q).alias(c) for c, q in (("low", 0.25), ("mid", 0.5), ("high", 0.75))], at("off", "nearer", 0.5).alias("off"), F.max("total").alias("total"))
 
 
 def thresholds(sketches: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """lang, source, and for each measure its fences in bins, as columns <measure>_low and <measure>_high."""
+    """lang, source, and fences: <length>_low and <length>_high in bins, <share>_high per SHARE words."""
     own = _quantiles(sketches, ["lang", "source"])
-    lang = _quantiles(sketches, ["lang"]).select(F.col("lang").alias("l2"), F.col("measure").alias("m2"), *[F.col(c).alias(f"l_{c}") for c in ("low", "mid", "high", "total")])
-    whole = _quantiles(sketches.withColumn("every", F.lit(1)), ["every"]).select(F.col("measure").alias("m3"), *[F.col(c).alias(f"w_{c}") for c in ("low", "mid", "high")])
+    lang = _quantiles(sketches, ["lang"]).select(F.col("lang").alias("l2"), F.col("measure").alias("m2"), *[F.col(c).alias(f"l_{c}") for c in ("low", "mid", "high", "off", "total")])
+    whole = _quantiles(sketches.withColumn("every", F.lit(1)), ["every"]).select(F.col("measure").alias("m3"), *[F.col(c).alias(f"w_{c}") for c in ("low", "mid", "high", "off")])
     rows = own.join(lang, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("measure") == F.col("m2"))).join(whole, F.col("measure") == F.col("m3"))
     pick = lambda c: F.when(F.col("total") >= min_group, F.col(c)).when(F.col("l_total") >= min_group, F.col(f"l_{c}")).otherwise(F.col(f"w_{c}"))
-    mid = pick("mid")
-    fence = lambda c, sign: mid + sign * F.greatest(F.lit(float(LEAST)), sign * (pick(c) - mid) * REACH)
-    rows = rows.select("lang", "source", "measure", fence("low", -1).alias("low"), fence("high", 1).alias("high"))
-    of = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
-    return rows.groupBy("lang", "source").agg(*[of(m, c) for m in MEASURES for c in ("low", "high")])
+    mid, middle = pick("mid"), _value(pick("mid"))
+    fence = lambda c, sign: mid + sign * F.greatest(F.lit(float(LEAST)), sign * (pick(c) - mid) * REACH * TAIL)
+    most = F.greatest(F.lit(float(FREE_SHARE)), middle + pick("off") * REACH * TAIL)
+    for m, top in CEILING.items():
+        most = F.when((F.col("measure") == m) & (middle < top), F.least(most, (middle + top) / 2)).otherwise(most)
+    rows = rows.select("lang", "source", "measure", fence("low", -1).alias("low"), fence("high", 1).alias("high"), most.alias("most"))
+    of = lambda m, c, name: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{name}")
+    return rows.groupBy("lang", "source").agg(*[of(m, c, c) for m in LENGTHS for c in ("low", "high")], *[of(m, "most", "high") for m in CEILING])
 
 
 def judge(rows: DataFrame, fences: DataFrame) -> DataFrame:
@@ -138,8 +151,8 @@ def judge(rows: DataFrame, fences: DataFrame) -> DataFrame:
     values = _values()
     high = lambda m: _bin(values[m]) > F.col(f"{m}_high")
     far = high("word_length") | (_bin(values["word_length"]) < F.col("word_length_low")) | high("words")
-    for m in ("symbol_share", "dup_line_share", "repeat_share"):
-        far = far | (high(m) & (values[m] > FREE_SHARE))
+    for m in CEILING:
+        far = far | (values[m] > F.col(f"{m}_high"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     joined = rows.join(fences, F.col("lang").eqNullSafe(F.col("l4")) & F.col("source").eqNullSafe(F.col("s4")), "left")
     return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))

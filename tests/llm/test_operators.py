@@ -199,6 +199,25 @@ def test_quality_thresholds_follow_the_group(spark):
     assert all(got[i] for i in range(800)) and not got[9000] and not got[9001] and not got[9002]
 
 
+@pytest.mark.parametrize("junk", [15, 30])
+def test_quality_fences_stand_where_a_group_holds_junk(spark, junk):
+    r = random.Random(junk)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+
+    def text(kind):
+        w = [word() for _ in range(200)]
+        if kind == "repeat":  # 8 % to 28 % of the words stand in a repeated window
+            n = r.randint(8, 28)
+            w[100 : 100 + n] = w[:n]
+        if kind == "symbol":
+            w[::10] = ["#"] * 20
+        return ("\n".join([*w[:180], *["same"] * 20]) if kind == "line" else " ".join(w))
+
+    rows = [(400 * g + i, text(kind if i % 100 < junk else "clean"), "en", kind) for g, kind in enumerate(("repeat", "symbol", "line")) for i in range(400)]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {i: i % 400 % 100 >= junk for i in range(1200)}
+
+
 def test_sketches_merge(spark, docs):
     rows = quality.measures(docs.select("doc_id", "text", "lang", "source")).select("lang", "source", *[F.col(f"__tsr_{b}").alias(b) for b in quality.BASE])
     whole = quality.sketch(rows)
