@@ -41,6 +41,11 @@ def _questions(spark, d):
     return table(spark, d, "benchmark").selectExpr("item_id AS qid", "0 AS task_id", "array_join(slice(split(text, '[ \\n]+'), 1, 8), ' ') AS query")
 
 
+def _items(spark, d):
+    """Whole benchmark texts as questions. Queries over them have no SQL: the SQL of the others asks for first words only."""
+    return table(spark, d, "benchmark").selectExpr("item_id AS qid", "0 AS task_id", "text AS query")
+
+
 def _steps(spark, d):
     return E.fold(views.turns(spark, d), views.tools(spark, d))
 
@@ -76,6 +81,11 @@ def bm25_topk(spark, d):
     return R.search(_questions(spark, d), _corpus(spark, d)).select("qid", "title", "score", "rank")
 
 
+@query()
+def bm25_topk_whole(spark, d):
+    return R.search(_items(spark, d), _corpus(spark, d)).select("qid", "title", "score", "rank")
+
+
 @query(BM25 + "SELECT count(*)::BIGINT AS n_postings, sum(tf)::BIGINT AS n_tokens, (SELECT n FROM st)::BIGINT AS n_docs, (SELECT round(avgdl, 6) FROM st) AS avgdl FROM post")
 def bm25_index_stats(spark, d):
     postings, stats = R.index(_corpus(spark, d))
@@ -86,10 +96,19 @@ def bm25_index_stats(spark, d):
 g AS (SELECT qid, count(*) AS n_gold, count(top.title) AS n_hit FROM gold LEFT JOIN top USING (qid, title) GROUP BY qid)
 SELECT item_id AS qid, coalesce(n_gold, 0)::BIGINT AS n_gold, CASE WHEN n_gold > 0 THEN round(n_hit::DOUBLE / n_gold, 6) ELSE 1.0 END AS hit_rate FROM benchmark LEFT JOIN g ON qid = item_id""")
 def bm25_hit_rate(spark, d):
+    return _hit_rate(spark, d, _questions(spark, d), "substring(text, 1, 60)")
+
+
+@query()
+def bm25_hit_rate_whole(spark, d):
+    return _hit_rate(spark, d, _items(spark, d), "text")
+
+
+def _hit_rate(spark, d, questions, key):
     b = table(spark, d, "benchmark")
     # the benchmark is the small, fixed side of this containment join
-    gold = table(spark, d, "documents").join(b.selectExpr("item_id AS qid", "substring(text, 1, 60) AS head"), F.expr("contains(text, head)")).selectExpr("qid", "concat('doc ', doc_id) AS title")
-    top = R.search(_questions(spark, d), _corpus(spark, d)).select("qid", "title", F.lit(1).alias("hit"))
+    gold = table(spark, d, "documents").join(b.selectExpr("item_id AS qid", f"{key} AS held"), F.expr("contains(text, held)")).selectExpr("qid", "concat('doc ', doc_id) AS title")
+    top = R.search(questions, _corpus(spark, d)).select("qid", "title", F.lit(1).alias("hit"))
     g = gold.join(top, ["qid", "title"], "left").groupBy("qid").agg(F.count(F.lit(1)).alias("n_gold"), F.count("hit").alias("n_hit"))
     return b.selectExpr("item_id AS qid").join(g, "qid", "left").select("qid", F.coalesce("n_gold", F.lit(0)).cast("long").alias("n_gold"), F.when(F.col("n_gold") > 0, F.round(F.col("n_hit") / F.col("n_gold"), 6)).otherwise(1.0).alias("hit_rate"))
 
@@ -127,7 +146,16 @@ def snippet_projection(spark, d):
 
 @query(r"SELECT qid, 'search results:' || chr(10) || string_agg('[' || rank || '] ' || top.title, chr(10) ORDER BY rank) AS obs FROM top GROUP BY qid".join([BM25, ""]))
 def search_observation_text(spark, d):
-    top = R.search(_questions(spark, d), _corpus(spark, d)).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("x"))
+    return _observations(R.search(_questions(spark, d), _corpus(spark, d)))
+
+
+@query()
+def search_observation_text_whole(spark, d):
+    return _observations(R.search(_items(spark, d), _corpus(spark, d)))
+
+
+def _observations(found):
+    top = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("x"))
     return top.select("qid", F.concat(F.lit("search results:\n"), F.array_join(F.transform("x", lambda r: F.concat(F.lit("["), r["rank"].cast("string"), F.lit("] "), r["title"])), "\n")).alias("obs"))
 
 
