@@ -170,6 +170,34 @@ def _pairs(spark, d):
     return b.join(table(spark, d, "documents").selectExpr("doc_id", "substring(text, 1, 160) AS gold"), "doc_id").select("item_id", "pred", "gold")
 
 
+def _whole_pairs(spark, d):
+    """Every document with its best benchmark text, both whole; pred is null where no item shares a word."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("gold"))
+    items = table(spark, d, "benchmark").selectExpr("item_id", "0 AS task_id", "item_id AS pos", "concat('item ', item_id) AS title", "text")
+    best = R.search(docs.selectExpr("doc_id AS qid", "0 AS task_id", "gold AS query"), items, k=1).select(F.col("qid").alias("doc_id"), "title")
+    return docs.join(best, "doc_id", "left").join(items.select("item_id", "title", F.col("text").alias("pred")), "title", "left").select("doc_id", "item_id", "pred", "gold")
+
+
+@query()
+def exact_match_whole(spark, d):
+    return _whole_pairs(spark, d).select("doc_id", "item_id", X.exact_match(F.col("pred"), F.array(F.coalesce("gold", F.lit("")))).alias("em"))
+
+
+@query()
+def token_f1_whole(spark, d):
+    return _whole_pairs(spark, d).select("doc_id", "item_id", F.round(X.token_f1(F.col("pred"), F.array(F.coalesce("gold", F.lit("")))), 6).alias("f1"))
+
+
+@query()
+def answer_recall_whole(spark, d):
+    return _whole_pairs(spark, d).select("doc_id", "item_id", F.round(X.answer_recall(F.col("pred"), F.col("gold")), 6).alias("recall"))
+
+
+@query()
+def citation_alignment_overlap_whole(spark, d):
+    return _whole_pairs(spark, d).select("doc_id", "item_id", F.round(X.align_overlap(F.col("pred"), F.col("gold")), 6).alias("score"))
+
+
 @query(f"SELECT doc_id, array_to_string({NORM.format('text')}, ' ') AS norm FROM documents WHERE lang = 'en'")
 def normalize_answer(spark, d):
     return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", X.normalize_answer(F.col("text")).alias("norm"))

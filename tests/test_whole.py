@@ -2,6 +2,7 @@
 
 import math
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -64,3 +65,30 @@ def test_search_takes_whole_items(spark, whole_dir, sf_dir, small):
     assert {r.qid: (r.n_gold, r.hit_rate) for r in QUERIES["bm25_hit_rate_whole"](spark, d).collect()} == rate
     if small:
         assert rate[0][0] == 1  # documents 0 and 3 hold the head alone
+
+
+def norm(text):
+    low = "".join(c for c in (text or "").lower() if c not in string.punctuation)
+    return " ".join(re.sub(r"\b(a|an|the)\b", " ", low).split())
+
+
+def share(a, b):
+    return round(sum(w in b for w in a) / len(a), 6) if a else 0.0
+
+
+def f1(a, b):
+    same = sum((Counter(a) & Counter(b)).values())
+    return (1.0 if a == b else 0.0) if not a or not b else round(2 * same / (len(a) + len(b)), 6)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_scores_take_whole_texts_of_every_document(spark, whole_dir, sf_dir, small):
+    d = whole_dir if small else sf_dir
+    items, docs = tables(spark, d)
+    best = bm25(docs, [(f"item {i}", t) for i, t in items], 1)
+    pairs = [(i, int(best[i][0][0][5:]) if best[i] else None, t) for i, t in docs]
+    pred = {**dict(items), None: None}
+    words = {"em": lambda p, g: norm(p) == norm(g), "f1": lambda p, g: f1(norm(p).split(), norm(g).split()), "recall": lambda p, g: share(norm(p).split(), norm(g).split()), "score": lambda p, g: share(tokens(p), tokens(g))}
+    for name, (col, of) in zip(("exact_match", "token_f1", "answer_recall", "citation_alignment_overlap"), words.items()):
+        got = {r.doc_id: (r.item_id, r[col]) for r in QUERIES[f"{name}_whole"](spark, d).collect()}
+        assert got == {i: (k, pytest.approx(of(pred[k], t), abs=2e-6)) for i, k, t in pairs}, name
