@@ -203,6 +203,11 @@ def normalize_answer(spark, d):
     return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", X.normalize_answer(F.col("text")).alias("norm"))
 
 
+@query()
+def normalize_answer_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.normalize_answer(F.col("text")).alias("norm"))
+
+
 @query(f"WITH p AS ({PAIRS}) SELECT item_id, {NORM.format('pred')} = {NORM.format('gold')} AS em, {NORM.format('pred')} = {NORM.format("('The ' || pred)")} AS em_self FROM p")
 def exact_match(spark, d):
     return _pairs(spark, d).select("item_id", X.exact_match(F.col("pred"), F.array("gold")).alias("em"), X.exact_match(F.col("pred"), F.array(F.concat(F.lit("The "), "pred"))).alias("em_self"))

@@ -13,7 +13,7 @@ HEAD = "one two three four five six seven eight"
 ITEMS = [(0, f"{HEAD} zebra lion owl"), (1, f"{HEAD} crane heron"), (2, None), (3, "Ärger über Öl")]
 DOCS = [
     (0, HEAD), (1, "zebra lion owl " * 3), (2, f"so {HEAD} zebra lion owl it is"), (3, f"{HEAD} but then no more of it than that"), (4, "crane heron"), (5, None), (6, ""),
-    (7, f"{HEAD} crane heron"), (8, "Ärger über Öl"), (9, "日本"), (10, f"{HEAD} {'filler ' * 40}zebra lion owl"),
+    (7, f"{HEAD} crane heron"), (8, "Ärger über Öl"), (9, "日本 «L'été» The\u00a0Straße à la carte, ÑANDÚ a-n"), (10, f"{HEAD} {'filler ' * 40}zebra lion owl"),
 ]
 
 
@@ -92,3 +92,10 @@ def test_scores_take_whole_texts_of_every_document(spark, whole_dir, sf_dir, sma
     for name, (col, of) in zip(("exact_match", "token_f1", "answer_recall", "citation_alignment_overlap"), words.items()):
         got = {r.doc_id: (r.item_id, r[col]) for r in QUERIES[f"{name}_whole"](spark, d).collect()}
         assert got == {i: (k, pytest.approx(of(pred[k], t), abs=2e-6)) for i, k, t in pairs}, name
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_answers_of_every_language_are_normalized(spark, whole_dir, sf_dir, small):
+    d = whole_dir if small else sf_dir
+    got = {r.doc_id: r.norm for r in QUERIES["normalize_answer_whole"](spark, d).collect()}
+    assert got == {i: norm(t) for i, t in tables(spark, d)[1]}
