@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import strip_citations
+
 IGNORE = -100
 
 
@@ -92,6 +94,44 @@ def graded_runs(tokens: DataFrame) -> DataFrame:
     return island.groupBy("conv_id", "g").agg(F.min("at").alias("begin"), (F.max("at") + 1).alias("end")).drop("g")
 
 
+def mask_findings(turns: DataFrame, tokens: DataFrame, observations: DataFrame, answers: DataFrame, probe: int = 24) -> DataFrame:
+    """What is wrong with a mask, by its text: a row per conversation of turns with conv_id, n_runs and findings.
+
+    tokens are like those of token_rows; observations (conv_id, body) must not be graded, judged by their first probe
+    characters where they have so many; of answers (conv_id, answer) the first word must be. Text is compared in lower
+    case without blanks, as tokens hold none; a run may span neighbouring assistant turns.
+    """
+    flat = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""))
+    first = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    said = turns.withColumn("body", flat(F.col("text"))).filter("body <> ''").withColumn("own", F.col("role").eqNullSafe("assistant"))
+    said = said.withColumn("g", F.count_if(~F.col("own")).over(w)).filter("own")
+    of = lambda name, x: F.transform(F.array_sort(F.collect_list(F.struct(name, x))), lambda r: r[x])
+    said = said.groupBy("conv_id", "g").agg(F.array_join(of("turn", "body"), "").alias("body"), F.count(F.lit(1)).alias("m"))
+    said = said.groupBy("conv_id").agg(F.collect_list("body").alias("said"), F.sum("m").alias("n_turns"))
+    island = tokens.filter("graded").withColumn("g", F.col("at") - F.row_number().over(Window.partitionBy("conv_id").orderBy("at")))
+    runs = island.groupBy("conv_id", "g").agg(F.min("at").alias("begin"), F.lower(F.array_join(of("at", "token"), "")).alias("run"))
+    runs = runs.groupBy("conv_id").agg(F.collect_list("run").alias("runs"), F.min("begin").alias("begin"))
+    seen = observations.withColumn("p", first(F.regexp_replace(F.col("body"), r"(?s)^\[.*?\]\n", "")).substr(1, probe)).filter(F.length("p") >= probe)
+    seen = seen.groupBy("conv_id").agg(F.collect_set(flat(F.col("p"))).alias("seen"))
+    word = answers.select("conv_id", F.element_at(F.split(first(strip_citations(F.col("answer"))), " "), 1).alias("word"))
+    rows = turns.select("conv_id").distinct()
+    for part in (said, runs, seen, word):
+        rows = rows.join(part, "conv_id", "left")
+    none = F.array().cast("array<string>")
+    ran = F.coalesce("runs", none)
+    graded = lambda x: F.exists(ran, lambda r: F.contains(r, x))
+    rules = {
+        "nothing_graded": F.size(ran) == 0,
+        "not_model_output": F.exists(ran, lambda r: ~F.exists(F.coalesce("said", none), lambda t: F.contains(t, r))),
+        "more_runs_than_turns": F.size(ran) > F.coalesce("n_turns", F.lit(0)),
+        "graded_from_start": F.coalesce(F.col("begin") == 0, F.lit(False)),
+        "observation_graded": F.exists(F.coalesce("seen", none), graded),
+        "answer_not_graded": ~graded(F.coalesce("word", F.lit(""))) & (F.coalesce("word", F.lit("")) != ""),
+    }
+    return rows.select("conv_id", F.size(ran).alias("n_runs"), F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull()).alias("findings"))
+
+
 def examples(tokens: DataFrame, max_len: int = 3072) -> DataFrame:
     """conv_id, n, n_graded and the label mask of sequences that aren't too long."""
     out = tokens.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("graded").alias("n_graded"), F.transform(F.array_sort(F.collect_list(F.struct("at", "graded"))), lambda x: F.when(x["graded"], F.lit(1)).otherwise(F.lit(IGNORE))).alias("labels"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -556,6 +556,17 @@ def mask_leak_check(spark, d):
     return _tokens(spark, d).join(roles, ["conv_id", "turn"]).groupBy("conv_id").agg(F.count_if(F.col("graded") & (F.col("role") != "assistant")).alias("leaked"))
 
 
+@query()
+def mask_text_check(spark, d):
+    t = table(spark, d, "conversations")
+    w = Window.partitionBy("conv_id")
+    t1 = t.withColumn("first", F.min(F.when(F.col("role") == "assistant", F.col("turn"))).over(w))
+    seen = t1.filter("role <> 'assistant' AND turn > first AND NOT startswith(text, 'error:')").select("conv_id", F.col("text").alias("body"))
+    own = t.filter("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text")).withColumn("a", X.parse_action(F.col("text")))
+    answers = own.select("conv_id", F.when(F.col("a.name") == "answer", F.col("a.payload")).otherwise(F.col("text")).alias("answer"))
+    return D.mask_findings(t, D.token_rows(t), seen, answers).select("conv_id", "n_runs", F.array_join("findings", ",").alias("findings"))
+
+
 PRICES = [("A", 3.0, 15.0), ("N", 1.0, 5.0)]
 
 

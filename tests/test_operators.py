@@ -97,6 +97,25 @@ def test_masks(spark):
     assert runs == [(7, 9)]
 
 
+def test_mask_leaks_are_found_in_the_text(spark, tmp_path):
+    obs = "[Alpha]\nThe river Alpha runs to the north sea and back."
+    chat = lambda i, last, body=obs: [(i, 0, "user", "Which river?"), (i, 1, "assistant", "Action: read[Alpha]"), (i, 2, "user", body), (i, 3, "assistant", last)]
+    rows = chat(1, "Action: answer[North sea [Alpha].]") + chat(2, "Thought: the river  Alpha runs to the NORTH sea and so on\nAction: answer[North]") + chat(3, "Action: answer[short]", "too short") + [(4, 0, "user", "hi"), (5, 0, "assistant", "hello"), (5, 1, "assistant", "there")]
+    t = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    t.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.n_runs, r.findings) for r in catalogue.QUERIES["mask_text_check"](spark, str(tmp_path)).collect()}
+    assert got == {1: (2, ""), 2: (2, "observation_graded"), 3: (2, ""), 4: (0, "nothing_graded"), 5: (1, "graded_from_start")}
+
+    tokens, one = D.token_rows(t), t.filter("conv_id = 1")
+    seen, answer = one.filter("turn = 2").selectExpr("conv_id", "text AS body"), spark.createDataFrame([(1, "North sea")], "conv_id int, answer string")
+    of = lambda graded: D.mask_findings(one, tokens.filter("conv_id = 1").withColumn("graded", F.expr(graded)), seen, answer).first().findings
+    assert of("graded") == []
+    assert of("graded OR lead(turn) OVER (PARTITION BY conv_id ORDER BY at) = 3") == ["not_model_output"]
+    assert of("false") == ["nothing_graded", "answer_not_graded"]
+    assert set(of("turn = 2")) >= {"not_model_output", "observation_graded"}
+    assert of("graded AND at % 2 = 0")[0] == "more_runs_than_turns"
+
+
 def test_log_with_a_cut_line(spark, tmp_path):
     (tmp_path / "log.json").write_text(json.dumps({"task_id": "a", "n": 1}) + "\n" + '{"task_id": "b", "n"')
     good, bad = io.read_log(spark, str(tmp_path), "task_id string, n int")
