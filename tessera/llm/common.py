@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,45 +20,115 @@ from pyspark.sql import types as T
 OWN = "__tsr_"
 #: Words everywhere are maximal runs of bytes other than these six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
+#: salted_join: shares of an average partition above which a key is hot, and rows that never make one hot.
+SHARE, MIN_HOT = 4, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor sees; a temporary one where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which every executor sees, as a URI; no setting is changed.
+
+    Where that is unset, the folder that the context checkpoints to is taken; a local master without either gets a
+    temporary one (tests), and any other master is an error.
+    """
+    context = spark.sparkContext._jsc.sc()
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        set_one = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = set_one.get() if set_one.isDefined() else tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
+    if not context.getCheckpointDir().isDefined():
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor sees")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
+    folder = folder or context.getCheckpointDir().get()
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
 
+def _folder(spark: SparkSession) -> str:
+    """The folder of this application below the shared one."""
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path below the shared one, named after the application that owns it."""
-    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path below the shared one, named after the application that owns it. It goes when Python ends."""
+    atexit.unregister(clean)
+    atexit.register(clean, spark)
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def release(*kept: DataFrame) -> None:
+    """Delete tables of keep that nothing will read any more, also not to make lost parts again."""
+    for df in kept:
+        _delete(df.sparkSession, df._tessera_path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all scratch folders of this application; its results that were not read or written yet are lost."""
+    with contextlib.suppress(Exception):  # a stopped session has nothing left to ask
+        _delete(spark, _folder(spark))
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows and bytes of an Arrow batch, at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches that Python workers hold small whatever the texts' lengths are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Keep the Arrow batches that Python workers hold small whatever the texts' lengths are.
+
+    These two session settings are only lowered, and stay so, as they count when a result is computed.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = spark.conf.get(name)
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(name, str(most))
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", held: str | None = None) -> DataFrame:
+    """many joined with one, which has a row per key, on keys that are never null; no key's rows go to a single task.
+
+    A key is hot if it holds more than 1 / SHARE of an average shuffle partition of many. So hot keys are fewer than
+    SHARE times the partitions, which bounds what is collected and broadcast about them: a key and a number each. Rows
+    of a hot key are dealt to as many places as it holds such shares, and its row of one is copied to each: in all
+    fewer than twice the bound. held names a column of one that has the number of a key's rows in many, if there is one.
+    Both tables are read more than once.
+    """
+    spark = many.sparkSession
+    places = SHARE * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = one.select(*keys, F.col(held).alias(f"{OWN}n")) if held else many.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{OWN}n"))
+    # as nothing smaller counts as hot, small tables are joined plainly
+    limit = max(MIN_HOT, many.count() // places)
+    hot = [tuple(r) for r in counts.filter(F.col(f"{OWN}n") > limit).collect()]
+    if not hot:
+        return many.join(one, keys, how)
+    schema = T.StructType([*[many.schema[k] for k in keys], T.StructField(f"{OWN}salts", T.LongType())])
+    salts = F.broadcast(spark.createDataFrame([(*k, -(-n // limit)) for *k, n in hot], schema))
+    n = F.coalesce(F.col(f"{OWN}salts"), F.lit(1))
+    rest = [c for c in many.columns if c not in keys]
+    dealt = F.pmod(F.xxhash64(*(rest or keys)), n) if rest else F.floor(F.rand(7) * n).cast("long")
+    many = many.join(salts, keys, "left").withColumn(f"{OWN}salt", dealt).drop(f"{OWN}salts")
+    one = one.join(salts, keys, "left").withColumn(f"{OWN}salt", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop(f"{OWN}salts")
+    return many.join(one, [*keys, f"{OWN}salt"], how).drop(f"{OWN}salt")
 
 
 def annotate(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], list]], fields: list[T.StructField]) -> DataFrame:
     """df with one more column per field, computed from text_col in Arrow batches.
 
     make runs once in each task and returns a function from a list of texts (None for null) to one
-    sequence per field. All columns of df pass through unchanged, so no join is needed afterwards.
+    sequence per field. All columns of df pass through unchanged, so no join is needed afterwards; only columns with
+    a field's own name are replaced, as when an operator is applied to its own output.
     """
     bound_batches(df.sparkSession)
+    df = df.drop(*[f.name for f in fields])
     at = df.columns.index(text_col)
     if len(set(df.columns)) != len(df.columns):
         raise ValueError("columns must have distinct names")
