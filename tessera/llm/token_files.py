@@ -1,20 +1,24 @@
 """Token ids as Arrow files of fixed-size lists.
 
 Documents are range-partitioned by id and sorted; each partition packs its ids into rows of SEQUENCE ids, written as
-record batches of fixed-size-list columns to one file in Arrow's file format: ids, in the smallest unsigned type that
-holds the vocabulary; mask, true where there is an id and false for padding; and last, true at a document's last id,
-both one bit a place. Any sequence can be read by memory-mapping the file and slicing one batch. A second file beside it
-holds the documents' ids in the same order.
+record batches to one file in Arrow's file format. Column ids is a fixed-size list in the smallest unsigned type that
+holds the vocabulary. Column mask is a fixed-size list of one byte a place, 1 where there is an id and 0 for padding; it
+is dictionary-encoded, as all sequences but a part's last have the same mask, so a part holds at most two of them. Ids
+and mask of any sequence are views of the memory-mapped file: nothing is copied or unpacked. A second file beside it
+holds the documents' ids and their numbers of tokens in the same order.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import is_normalized
+from itertools import chain
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -28,68 +32,104 @@ SEQUENCE, BATCH = 2048, 64
 END_ID = 2
 #: Distinct blank-separated pieces whose ids a worker remembers before it forgets the older half.
 CACHE = 600_000
+#: Words that are given to the library as one text.
+JOINED = 64
 MANIFEST = "part int, tokens string, documents string, n_docs long, n_tokens long"
 
+#: Cut of a lower-cased piece, and the normalizer, pre-tokenizer and model settings of a vocabulary file that cuts and
+#: lower-cases pieces like that. Fixed values, the tokenizer file's.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTTER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+WORD_END = "</w>"
+
 
 def schemas(sequence: int, wide: bool) -> tuple[pa.Schema, pa.Schema]:
-    lists = (("ids", pa.uint32() if wide else pa.uint16()), ("mask", pa.bool_()), ("last", pa.bool_()))
-    return pa.schema([pa.field(name, pa.list_(kind, sequence), False) for name, kind in lists]), pa.schema([pa.field("doc_id", pa.int64())])
+    mask = pa.dictionary(pa.int8(), pa.list_(pa.uint8(), sequence))
+    tokens = pa.schema([pa.field("ids", pa.list_(pa.uint32() if wide else pa.uint16(), sequence), False), pa.field("mask", mask, False)])
+    return tokens, pa.schema([pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64(), False)])
 
 
 class Encoder:
     """Ids of texts as little-endian bytes of 2 or 4 each, by the tokenizers library.
 
-    The library's normalizer and pre-tokenizer never join what a blank separates, so each blank-separated piece is
-    encoded once and its ids are remembered. Printable Latin pieces in composed form are lower-cased and cut by the
-    tokenizer's own pattern here and their words go straight to the library's model; all others take its whole way.
+    Where a file's settings are NORMALIZER and CUTTER, nothing joins what a blank separates, so each blank-separated
+    piece is encoded once and its ids are remembered. Printable Latin pieces in composed form are then lower-cased and
+    cut here, and their new words go to the library's model many at a time; all other pieces take the library's whole
+    way. With any other file whole texts do.
     """
 
-    #: Cut of a lower-cased piece. Fixed value, the tokenizer file's.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.code = "I" if self.wide else "H"
-        self.cut = regex.compile(self.PATTERN).findall
-        self.beyond = regex.compile(r"[^\x00-\u024f]|<\|").search
+        from tokenizers.normalizers import Sequence
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        self.tokenizer, self.words_only = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.words_only.normalizer, self.words_only.pre_tokenizer = Sequence([]), WhitespaceSplit()
+        for t in (self.tokenizer, self.words_only):
+            t.no_truncation()
+            t.no_padding()
+        size = self.tokenizer.get_vocab_size()
+        self.wide = size > 1 << 16
+        self.kind = np.dtype(np.uint32 if self.wide else np.uint16)
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        model = held["model"]
+        self.by_piece = (held["normalizer"], held["pre_tokenizer"], model["type"], model.get("end_of_word_suffix")) == (NORMALIZER, CUTTER, "BPE", WORD_END)
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
+        kinds = {k: "".join(re.escape(c) for c in map(chr, range(33, 0x250)) if c.isprintable() and category(c)[0] == k) for k in "LN"}
+        # PATTERN for the characters that plain knows, which are composed and printable
+        self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^\s{kinds['L']}{kinds['N']}]+").findall
+        self.odd = re.compile(r"[^\n\x20-\x7e\xa1-\xac\xae-\u024f]|<\|").search
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = (b for b in range(256) if b not in set(visible))
         self.letters = {b: b for b in visible} | {b: 256 + i for i, b in enumerate(hidden)}
 
-    def _word(self, word: str) -> bytes:
-        if (got := self.words.get(word)) is None:
-            plain = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            got = self.words[word] = array(self.code, [t.id for t in self.model.tokenize(plain)]).tobytes()
-        return got
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array("I" if self.wide else "H", ids).tobytes()
+
+    def _spell(self, words: list[str]) -> None:
+        """Remember the ids of new words: JOINED of them are one text to the library, whose words end where ids say so."""
+        plain = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words]
+        texts = [" ".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.words_only.encode_batch_fast(texts, add_special_tokens=False)), np.int64)
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
+        if len(stops) != len(words):
+            raise ValueError("the vocabulary has no word ends")
+        raw, begin = ids.astype(self.kind).tobytes(), 0
+        for w, stop in zip(words, stops, strict=True):
+            self.words[w] = raw[begin:stop]
+            begin = stop
 
     def _learn(self, new: set[str]) -> None:
-        known, word, rest = self.known, self._word, []
+        one, more, rest, odd, cut = [], [], [], self.odd, self.cut
         for piece in new:
             low = piece.lower()
-            if low.isascii() and low.isalpha():
-                known[piece] = word(low)
-            elif low.isascii() and low[:-1].isalpha() and low[-1] in ".,;:!?":
-                known[piece] = word(low[:-1]) + word(low[-1])
-            elif piece.replace("\n", " ").isprintable() and not self.beyond(piece) and is_normalized("NFC", piece):
-                known[piece] = b"".join(map(word, self.cut(low)))
+            if low.isalpha() and (low.isascii() or not odd(piece)):
+                one.append((piece, low))
+            elif not odd(piece):
+                more.append((piece, cut(low)))
             else:
                 rest.append(piece)
+        words = self.words
+        self._spell([w for w in {w for _, w in one}.union(*[x for _, x in more]) if w not in words])
+        self.known.update((piece, words[w]) for piece, w in one)
+        get = words.__getitem__
+        self.known.update((piece, b"".join(map(get, x))) for piece, x in more)
         for got, piece in zip(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), rest, strict=True):
-            known[piece] = array(self.code, got.ids).tobytes()
+            self.known[piece] = self._bytes(got.ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_piece:
+            return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         split = [(t or "").split(" ") for t in texts]
         for held in (self.known, self.words):
             forget(held, CACHE)
-        self._learn(set().union(*split) - self.known.keys())
+        self._learn(set(chain.from_iterable(split)) - self.known.keys())
         known = self.known.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
@@ -110,37 +150,49 @@ class Packer:
         self.fs.create_dir(root, recursive=True)
         self.sequence, self.ids, self.docs = sequence, *schemas(sequence, wide)
         self.kind = np.dtype(np.uint32 if wide else np.uint16)
+        self.end = np.asarray([END_ID], self.kind).tobytes()
         self.names = [f"{root}/tokens-{part:06d}.arrow", f"{root}/documents-{part:06d}.arrow"]
         self.temporary = [f"{n}.{attempt}" for n in self.names]
         self.sinks = [self.fs.open_output_stream(n) for n in self.temporary]
-        self.writers = [pa.ipc.new_file(s, x) for s, x in zip(self.sinks, (self.ids, self.docs), strict=True)]
+        added = pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True)
+        self.writers = [pa.ipc.new_file(s, x, options=added) for s, x in zip(self.sinks, (self.ids, self.docs), strict=True)]
         self.held: list[bytes] = []
-        self.marks: list[bytes] = []
+        self.rows: tuple[list, list[int]] = ([], [])
         self.n_held = self.n_tokens = self.n_docs = 0
 
     def add(self, doc_ids: list, encoded: list[bytes]) -> None:
-        end, size = np.asarray([END_ID], self.kind).tobytes(), self.kind.itemsize
+        size = self.kind.itemsize
+        lengths = [len(x) // size + 1 for x in encoded]
         for x in encoded:
-            self.held += (x, end)
-            self.marks += (bytes(len(x) // size), b"\x01")
-            self.n_held += len(x) // size + 1
+            self.held += (x, self.end)
+        self.rows[0].extend(doc_ids)
+        self.rows[1].extend(lengths)
         self.n_docs += len(doc_ids)
-        self.writers[1].write_batch(pa.record_batch([pa.array(doc_ids, pa.int64())], schema=self.docs))
+        self.n_held += sum(lengths)
         if self.n_held >= self.sequence * BATCH:
             self._flush(False)
 
+    def _masks(self, used: int, n: int) -> pa.DictionaryArray:
+        """Masks of n sequences whose places are used up to the given one."""
+        whole = np.ones(self.sequence, np.uint8)
+        kinds, index = [whole], np.zeros(n, np.int8)
+        if used < n * self.sequence:
+            kinds.append((np.arange(self.sequence) < used % self.sequence).astype(np.uint8))
+            index[-1] = 1
+        return pa.DictionaryArray.from_arrays(pa.array(index), pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(kinds)), self.sequence))
+
     def _flush(self, last: bool) -> None:
-        ids, marks = np.frombuffer(b"".join(self.held), self.kind), np.frombuffer(b"".join(self.marks), np.uint8)
+        ids = np.frombuffer(b"".join(self.held), self.kind)
         block = self.sequence * BATCH
         whole = len(ids) if last else len(ids) // block * block
         for at in range(0, whole, block):
-            x, m = ids[at : min(at + block, whole)], marks[at : min(at + block, whole)]
-            pad = -len(x) % self.sequence
-            flat = (np.pad(x, (0, pad)), np.arange(len(x) + pad) < len(x), np.pad(m, (0, pad)).astype(bool))
-            columns = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.sequence) for v in flat]
+            x = ids[at : min(at + block, whole)]
+            flat = np.pad(x, (0, -len(x) % self.sequence))
+            columns = [pa.FixedSizeListArray.from_arrays(pa.array(flat), self.sequence), self._masks(len(x), len(flat) // self.sequence)]
             self.writers[0].write_batch(pa.record_batch(columns, schema=self.ids))
+        self.writers[1].write_batch(pa.record_batch([pa.array(c, pa.int64()) for c in self.rows], schema=self.docs))
         self.n_tokens += whole
-        self.held, self.marks, self.n_held = [ids[whole:].tobytes()], [marks[whole:].tobytes()], len(ids) - whole
+        self.held, self.rows, self.n_held = [ids[whole:].tobytes()], ([], []), len(ids) - whole
 
     def close(self) -> tuple[list[str], int, int]:
         self._flush(True)
@@ -199,30 +251,33 @@ def open_file(uri: str) -> pa.ipc.RecordBatchFileReader:
 
 
 def read_sequence(uri: str, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of a part's i-th sequence, without reading the others."""
+    """Ids and mask of a part's i-th sequence, without reading the others: views of the file where it is local."""
     batch = open_file(uri).get_batch(i // BATCH)
-    return tuple(batch.column(k)[i % BATCH].values.to_numpy(zero_copy_only=k == 0) for k in (0, 1))
+    ids, mask = batch.column(0)[i % BATCH].values, batch.column(1)
+    return ids.to_numpy(), mask.dictionary[mask.indices[i % BATCH].as_py()].values.to_numpy()
 
 
 def _digest(tokens: str, documents: str, start: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a part's documents, by the lengths of one file and the ids of the other, batch by batch."""
     names, reader = open_file(documents), open_file(tokens)
-    wanted = (x for k in range(names.num_record_batches) for x in names.get_batch(k).column(0).to_pylist())
-    crc = length = 0
-    for k in range(reader.num_record_batches):
-        batch = reader.get_batch(k)
-        ids, mask, last = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in range(3))
-        ids = ids.astype("<u4")
-        out, begin = [], 0
-        for stop in (np.flatnonzero(last) + 1).tolist():
-            crc, length = zlib.crc32(ids[begin:stop], crc), length + stop - begin
-            out.append((next(wanted), start, length, crc))
-            start, begin, crc, length = start + length, stop, 0, 0
-        used = int(np.count_nonzero(mask))
-        crc, length = zlib.crc32(ids[begin:used], crc) if used > begin else crc, length + used - begin
-        columns = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-    if next(wanted, None) is not None or length:
-        raise ValueError(f"{tokens} and {documents} disagree")
+    ids, k = np.zeros(0, "<u4"), 0
+    for b in range(names.num_record_batches):
+        batch = names.get_batch(b)
+        doc_ids, lengths = batch.column(0), batch.column(1).to_pylist()
+        crcs = []
+        for n in lengths:
+            crc = 0
+            while n:
+                if not len(ids):
+                    if k == reader.num_record_batches:
+                        raise ValueError(f"{tokens} and {documents} disagree")
+                    ids, k = reader.get_batch(k).column(0).flatten().to_numpy().astype("<u4"), k + 1
+                part = ids[:n]
+                crc, ids, n = zlib.crc32(part, crc), ids[len(part) :], n - len(part)
+            crcs.append(crc)
+        starts = start + np.cumsum([0, *lengths])
+        start = int(starts[-1])
+        yield pa.record_batch([doc_ids, pa.array(starts[:-1], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def with_starts(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -236,7 +291,12 @@ def with_starts(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
 
 def token_digest(docs: DataFrame, path: str, folder: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
-    """Write docs' token files, read them back, and return a row per document; an empty table gives no rows."""
+    """Write docs' token files, read them back, and return a row per document: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts hold the end id alone. Texts of any length are written piece by piece over batches. Repeated
+    rows are documents of their own, in a row; null doc_ids come first. Other columns are not read, whatever their
+    names. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     return read_documents(with_starts(spark, write_tokens(docs, path, folder or scratch(spark, "tokens"), sequence)))
 
