@@ -7,10 +7,13 @@ phrases of equal trigger, and never two in the same phrase. The parse of a docum
 dictionary holds the distinct ones.
 
 A phrase that the parse has twice is repeated in all its windows. Otherwise a window can only be repeated in another
-dictionary phrase of the same trigger. There the dictionary's suffixes are ranked to depth WINDOW, by fingerprint: equal
-ranks are repeated windows. No deeper order is needed, because matches are WINDOW bytes long, and so phrases'
-multiplicities are all that the parse adds to the dictionary's order. Texts stay in shards, one file each; only triggers
-and fingerprints are shuffled, pre-aggregated per shard, so a passage of any number of copies is one row per shard.
+dictionary phrase of the same trigger. There the dictionary's suffixes are sorted to depth WINDOW by prefix doubling:
+neighbours in that suffix array with a common prefix of WINDOW bytes are repeated windows. As phrases overlap by
+WINDOW - 1 bytes, corpus order to depth WINDOW is the order of dictionary suffixes, each as often as the parse has its
+phrase; the parse is sorted by phrase for that, and nothing behind a phrase can change what is removed. Texts stay in
+shards, one file each; only triggers, fingerprints of phrases and the bytes of the dictionary are shuffled, pre-aggregated
+per shard, so a passage of any number of copies is one row per shard. A trigger with very many different phrases, as a
+common line in many contexts makes, isn't brought together: its windows are dealt out by fingerprint.
 """
 
 from __future__ import annotations
@@ -26,14 +29,16 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, keep, scratch
+from tessera.llm.common import SHARE, bound_batches, keep, release, salted_join, scratch
 
 #: Bytes of a removed string, and of the substrings whose hashes are triggers.
 WINDOW, GRAM = 200, 64
 #: Bytes hashed together; a longer text is cut into overlapping stretches.
 STRETCH = 1 << 20
-#: Dictionary phrases of a trigger that are ranked in one task.
-IN_TASK = 2000
+#: Dictionary phrases of a trigger that are always ranked in one task; beyond, if they are few for a shuffle partition.
+IN_TASK = 1000
+#: Bytes of a suffix that are compared at first.
+WORD = 8
 
 _RANDOM = np.random.Generator(np.random.PCG64(6))
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -255,14 +260,50 @@ def _second_pass(folder: str):
     return run
 
 
-def _windows(raw: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of phrases' windows: phrase, place in it, fingerprint."""
+def _places(raw: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases' bytes, and of their windows: phrase, place in it, place in the bytes."""
     phrase = np.repeat(np.arange(len(raw)), windows)
     place = np.arange(len(phrase)) - np.repeat(np.cumsum(windows) - windows, windows)
     size = np.fromiter(map(len, raw), np.int64, len(raw))
-    begin = (np.cumsum(size) - size)[phrase] + place
-    hashed = Hasher(np.frombuffer(b"".join(raw), np.uint8))
-    return phrase, place, _stir(hashed.at(begin, begin + WINDOW), 3)
+    return np.frombuffer(b"".join(raw), np.uint8), phrase, place, (np.cumsum(size) - size)[phrase] + place
+
+
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Ranks of keys from 0 on, equal for equal keys."""
+    order = np.argsort(key)
+    key = key[order]
+    out = np.empty(len(key), np.uint64)
+    out[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]] if len(key) else key, dtype=np.uint64)
+    return out
+
+
+def suffix_ranks(data: np.ndarray, begin: np.ndarray, depth: int = WINDOW) -> np.ndarray:
+    """Ranks of the suffixes of data that begin at the given places, by their first depth bytes, which data must have.
+
+    The suffix array to that depth is the order of these ranks. Ranks by WORD bytes are doubled until they reach it; the
+    last step overlaps. Suffixes elsewhere are ranked only as what others need.
+    """
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    reach = min(WORD, depth)
+    key = np.zeros(len(data) - reach + 1, np.uint64)
+    for k in range(reach):
+        key = (key << np.uint64(8)) | data[k : k + len(key)]
+    while reach < depth:
+        step = min(reach, depth - reach)
+        rank = _ranks(key)
+        key = rank[: len(rank) - step] * (rank.max() + np.uint64(1)) + rank[step:]
+        reach += step
+    return _ranks(key[begin])
+
+
+def _again(rank: np.ndarray) -> np.ndarray:
+    """For each suffix whether a neighbour in the suffix array has its rank, so its first bytes."""
+    order = np.argsort(rank, kind="stable")
+    same = rank[order][1:] == rank[order][:-1]
+    out = np.zeros(len(rank), bool)
+    out[order] = np.r_[same, False] | np.r_[False, same] if len(rank) else out
+    return out
 
 
 def _runs(phrase: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,8 +320,8 @@ def _rank(table: pa.Table) -> pa.RecordBatch:
     order, fresh = _groups(trigger, mark)
     several = _shared(trigger, mark)
     at = order[fresh]
-    phrase, place, prints = _windows([table.column("raw")[k].as_py() for k in at.tolist()], windows[at].astype(np.int64))
-    again = _shared(trigger[at][phrase], prints) | several[at][phrase]
+    data, phrase, place, begin = _places([table.column("raw")[k].as_py() for k in at.tolist()], windows[at].astype(np.int64))
+    again = _again(suffix_ranks(data, begin)) | several[at][phrase]
     phrase, first, count = _runs(phrase[again], place[again])
     # every shard that has the phrase is told
     number = np.empty(len(order), np.int64)
@@ -321,23 +362,31 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of phrases as a row."""
     for batch in batches:
         trigger, mark, shard, windows = (batch.column(k).to_numpy() for k in range(4))
-        phrase, place, prints = _windows(batch.column(4).to_pylist(), windows.astype(np.int64))
+        data, phrase, place, begin = _places(batch.column(4).to_pylist(), windows.astype(np.int64))
+        prints = _stir(Hasher(data).at(begin, begin + WINDOW), 3)
         yield pa.record_batch({"trigger": trigger[phrase], "mark": mark[phrase], "shard": shard[phrase], "first": place.astype(np.int32), "print": prints.view(np.int64)})
 
 
 def repeated_windows(phrases: DataFrame, in_task: int) -> DataFrame:
     """Runs of windows of the dictionary's phrases that stand in two places or more, per shard and phrase.
 
-    Groups of up to in_task phrases are ranked where they meet. The windows of a larger group, which a line common to
-    very many texts makes, are dealt out by fingerprint instead. The order of a group's rows doesn't matter.
+    Groups of a trigger are ranked where they meet, unless they hold more than in_task phrases and more than 1 / SHARE
+    of an average shuffle partition: those triggers are fewer than SHARE times the partitions, so they are collected and
+    sent out; their phrases are not shuffled, only fingerprints of their windows are. The order of rows doesn't matter.
     """
-    sizes = phrases.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > in_task).select("trigger")
-    large = phrases.join(sizes, "trigger", "left_semi")
-    small = phrases.join(sizes, "trigger", "left_anti").repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_ranked, RUNS)
-    rows = large.mapInArrow(_exploded, "trigger long, mark long, shard int, first int, print long")
+    spark = phrases.sparkSession
+    limit = max(in_task, phrases.count() // (SHARE * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hot = phrases.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("trigger").collect()
+    few = F.broadcast(spark.createDataFrame(hot, "trigger long"))
+    rest = phrases.join(few, "trigger", "left_anti") if hot else phrases
+    small = rest.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_ranked, RUNS)
+    if not hot:
+        return small
+    rows = phrases.join(few, "trigger", "left_semi").select(*phrases.columns).mapInArrow(_exploded, "trigger long, mark long, shard int, first int, print long")
+    rows = keep(rows, "repeats-windows")
     # a phrase of several shards has its windows once from each, so a count of 2 is a repeat either way
-    counted = rows.groupBy("trigger", "print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("trigger", "print")
-    several = rows.join(counted, ["trigger", "print"]).select("shard", "trigger", "mark", "first", F.lit(1).alias("count"))
+    counted = keep(rows.groupBy("trigger", "print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeats-counted")
+    several = salted_join(rows, counted, ["trigger", "print"], held="n").select("shard", "trigger", "mark", "first", F.lit(1).alias("count"))
     return small.unionByName(several)
 
 
@@ -397,8 +446,9 @@ def remove_repeats(docs: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """(doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs.
 
     Bytes go that a string of WINDOW bytes covers which also starts anywhere else in docs, in the same text included;
-    strings don't reach over a text's end. Null texts are empty. Rows of equal doc_id are texts of their own, and equal
-    rows repeat each other. An empty table gives no rows.
+    strings don't reach over a text's end. Null and empty texts lose nothing; long ones are parsed in overlapping
+    stretches. Rows of equal doc_id are texts of their own, and equal rows repeat each other. Other columns, whatever
+    their names, are neither read nor returned. An empty table gives no rows.
     """
     spark = docs.sparkSession
     bound_batches(spark)
