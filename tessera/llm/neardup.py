@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, forget, keep, pieces, shared_dir
+from tessera.llm.common import bound_batches, forget, keep, pieces, release, salted_join, shared_dir
 
 SHINGLE = 5
 #: Hash functions, and signature values in a band: 2 * PERMUTATIONS / ROWS bands.
@@ -129,14 +129,22 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full sets are similar enough; sizes alone rule out many."""
+    """Those of the distinct pairs (a, b) whose full sets are similar enough; sizes alone rule out many.
+
+    A text that stands in very many pairs, as a group's centre does, is dealt to many tasks on either side.
+    """
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    sized = pairs.join(left, "a").join(right, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+    sized = salted_join(salted_join(pairs, left, ["a"]), right, ["b"]) if _any(pairs) else pairs.join(left, "a").join(right, "b")
+    sized = sized.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return sized.withColumn("both", both).filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * PERCENT).select("a", "b")
 
 
+def _any(rows: DataFrame) -> bool:
+    return not rows.isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Nodes of links (a, b) with the least id they are connected to: id, component.
 
@@ -167,15 +175,15 @@ def _label(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def _open(rows: DataFrame) -> DataFrame:
     """Rows of buckets whose members are of two components or more."""
-    still = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
-    return rows.join(still, "key", "left_semi")
+    per = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("held"))
+    return salted_join(rows, per.filter("c0 <> c1").select("key", "held"), ["key"], held="held").drop("held")
 
 
 def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     """A pair for each id: with the centre, of those of its buckets, that comes first in this turn's order."""
     rank = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-    centre = rows.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("z"), F.col("c").alias("cz")), rank).alias("x"), F.min(rank).alias("rank"))
-    met = rows.join(centre.select("key", "x.z", "x.cz", "rank"), "key").filter("id <> z and c <> cz")
+    centre = rows.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("z"), F.col("c").alias("cz")), rank).alias("x"), F.min(rank).alias("rank"), F.count(F.lit(1)).alias("held"))
+    met = salted_join(rows, centre.select("key", "x.z", "x.cz", "rank", "held"), ["key"], held="held").filter("id <> z and c <> cz")
     return met.groupBy("id").agg(F.min_by("z", "rank").alias("z")).select(F.least("id", "z").alias("a"), F.greatest("id", "z").alias("b")).distinct()
 
 
@@ -190,27 +198,32 @@ def _prefix_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     nodes = keep(rows.groupBy("id").agg(F.min("c").alias("c")), "neardup-open")
     mine = keep(sets.join(nodes, "id").select("id", "c", "n", "shingles", F.xxhash64("shingles").alias("set")), "neardup-open-sets")
     flat = mine.select("id", "set", "c", "n", F.explode("shingles").alias("key"))
-    spread = flat.groupBy("key").agg(F.count(F.lit(1)).alias("df"), (F.min("c") != F.max("c")).alias("open"))
+    spread = keep(flat.groupBy("key").agg(F.count(F.lit(1)).alias("df"), (F.min("c") != F.max("c")).alias("open")), "neardup-spread")
     order = Window.partitionBy("id", "set").orderBy("df", "key")
-    early = flat.join(spread, "key").withColumn("at", F.row_number().over(order))
+    early = salted_join(flat, spread, ["key"], held="df").withColumn("at", F.row_number().over(order))
     early = early.filter(F.col("open") & ((F.col("n") - F.col("at") + 1) * 100 >= F.col("n") * PERCENT))
-    early = keep(_open(early.select("key", "id", "c", "n", "at")), "neardup-early")
+    first = keep(early.select("key", "id", "c", "n", "at"), "neardup-first")
+    early = keep(_open(first), "neardup-early")
+    release(nodes, mine, spread, first)
     other = early.select("key", *[F.col(x).alias(f"{x}2") for x in ("id", "c", "n", "at")])
     most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + 1
     can = (F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & (most * (100 + PERCENT) >= (F.col("n") + F.col("n2")) * PERCENT)
-    return early.join(other, (early["key"] == other["key"]) & can).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    return salted_join(early, other, ["key"]).filter(can).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
 def linked(buckets: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Components of the confirmed links between members (key, id) of the same bucket: id, component."""
     links, found, rows = None, None, buckets.withColumn("c", F.col("id"))
     for turn in range(rounds + 1):
-        pairs = _star_pairs(rows, turn) if turn < rounds else _prefix_pairs(rows, sets)
+        pairs = keep(_star_pairs(rows, turn) if turn < rounds else _prefix_pairs(rows, sets), "neardup-pairs")
         got = confirm(pairs, sets)
         links = keep(got if links is None else links.unionByName(got).distinct(), "neardup-links")
         found = components(links).checkpoint()
+        release(pairs)
         if turn < rounds:
-            rows = keep(_open(_label(rows.drop("c"), found)), "neardup-rows")
+            named = keep(_label(rows.drop("c"), found), "neardup-named")
+            rows = keep(_open(named), "neardup-rows")
+            release(named)
             if rows.isEmpty():
                 break
     return found
@@ -220,38 +233,66 @@ def near_duplicates(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, text) to doc_id, n_shingles, component_id, kept, for every row of docs.
 
     component_id is the least doc_id that is reachable over links, the row's own included. Null and empty texts have
-    an empty set, which links with nothing. Rows of one doc_id are one node, and kept together; a null doc_id is no
-    node: its component_id is null and it is kept. An empty table gives no rows.
+    an empty set, which links with nothing. Rows of one doc_id are one node, whatever their texts, and kept together; a
+    null doc_id is no node: its component_id is null and it is kept. Long texts are hashed whole. Other columns, whatever
+    their names, are neither read nor returned. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = keep(signatures(docs), "neardup-signatures")
-    full = rows.filter("n_shingles > 0 and doc_id is not null")
-    equal = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
+    repeated = _repeats(rows)
+    same = ["n_shingles", "s1", "s2"]
+    node = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    full = rows.filter(node)
+    equal = keep(full.groupBy(*same).agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.count(F.lit(1)).alias("held")), "neardup-equal")
     flat = equal.select("id", F.explode("bands").alias("key"))
-    shared = flat.groupBy("key").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).filter("i0 <> i1").select("key")
-    buckets = keep(flat.join(shared, "key"), "neardup-buckets").distinct()
+    shared = flat.groupBy("key").agg(F.min("id").alias("i0"), F.max("id").alias("i1"), F.count(F.lit(1)).alias("held")).filter("i0 <> i1").select("key", "held")
+    buckets = salted_join(flat, shared, ["key"], held="held").drop("held")
+    buckets = keep(buckets.distinct() if repeated else buckets, "neardup-buckets")
     nodes = buckets.select("id").distinct()
-    sets = keep(shingle_sets(docs.withColumnRenamed("doc_id", "id").select("id", "text").join(nodes, "id", "left_semi")), "neardup-sets")
+    sets = shingle_sets(docs.withColumnRenamed("doc_id", "id").select("id", "text").join(nodes, "id", "left_semi"))
     # a doc_id of several rows has several sets; any of them may link it
-    sets = sets.distinct() if _repeats(rows) else sets
+    sets = keep(sets.distinct() if repeated else sets, "neardup-sets")
     found = linked(buckets, sets, rounds)
-    # equal sets and repeated ids tie representatives together
-    ties = full.join(equal.select(F.col("n_shingles").alias("n2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), "id"), (F.col("n_shingles") == F.col("n2")) & (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2"))).select("doc_id", "id")
-    named = _label(ties, found).groupBy("doc_id").agg(F.min("c").alias("c"), F.max("c").alias("c_max"))
-    if not (clash := keep(named.filter("c <> c_max").select(F.col("c").alias("a"), F.col("c_max").alias("b")), "neardup-ties")).isEmpty():
-        merged = components(clash).withColumnRenamed("id", "m")
-        named = named.join(merged, F.col("c") == F.col("m"), "left").withColumn("c", F.coalesce("component", "c"))
-    named = named.select(F.col("doc_id").alias("d"), "c")
-    out = rows.join(named, F.col("doc_id") == F.col("d"), "left").withColumn("component_id", F.coalesce("c", "doc_id"))
+    release(buckets, sets)
+    # a component is found per set, then each row has that of its set
+    named = _label(equal.select(*same, "id", "held"), found).drop("id")
+    out = salted_join(full.select("doc_id", *same), named, same, held="held").select("doc_id", "n_shingles", F.col("c").alias("component_id"))
+    out = out.unionByName(rows.filter(~node).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = _one_node(keep(out, "neardup-out")) if repeated else out
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _one_node(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, n_shingles, component_id) where all components that a doc_id's rows are in become one."""
+    met = rows.filter("doc_id is not null").select("doc_id", F.col("component_id").alias("c")).distinct()
+    least = keep(met.groupBy("doc_id").agg(F.min("c").alias("a"), F.count(F.lit(1)).alias("n")), "neardup-least")
+    ties = met.join(least.filter("n > 1").select("doc_id", "a"), "doc_id").filter("c <> a").select("a", F.col("c").alias("b"))
+    merged = components(ties).select(F.col("id").alias("a"), F.col("component").alias("merged"))
+    # a component of very many ids is one key of this join
+    one = salted_join(least.select("doc_id", "a"), merged, ["a"], "left").select("doc_id", F.coalesce("merged", "a").alias("c"))
+    nodes = salted_join(rows.filter("doc_id is not null"), keep(one, "neardup-one"), ["doc_id"]).select("doc_id", "n_shingles", F.col("c").alias("component_id"))
+    return nodes.unionByName(rows.filter("doc_id is null"))
+
+
 def _repeats(rows: DataFrame) -> bool:
     """Whether a doc_id stands in more than one row."""
     return not rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows that near_duplicates doesn't keep."""
-    gone = near_duplicates(docs.select("doc_id", "text")).filter("not kept").select(F.col("doc_id").alias("__tsr_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__tsr_gone"), "left_anti")
+    """One row of each group of near-duplicates of docs, with all columns: a row of the group's least doc_id.
+
+    If that id has several rows, the one that comes first by a hash of all its columns stays; rows without doc_id are
+    no duplicates and all stay, as do rows without words unless their doc_id repeats. Column names must differ; none
+    clashes with the operator's. An empty table gives no rows.
+    """
+    gone = near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    twice = left.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return left
+    twice = keep(twice, "neardup-twice")
+    # pre-aggregated where the rows are: one row per task and id is shuffled, however many rows an id has
+    hashed = F.struct(*[F.xxhash64(F.lit(k), *docs.columns) for k in (1, 2)])
+    one = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), hashed).alias("row"))
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("row.*"))
