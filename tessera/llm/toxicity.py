@@ -185,18 +185,31 @@ class Trees:
         return out
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of the monotone least-squares fit of y to score: where each begins and its value, by pooling neighbours."""
-    order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []  # value sum, rows, first score
-    for s, v in zip(score[order], y[order], strict=True):
-        blocks.append([float(v), 1.0, float(s)])
-        while len(blocks) > 1 and (blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1] or blocks[-2][2] == blocks[-1][2]):
+def _pool(values: list[float], weights: list[float]) -> list[int]:
+    """Sizes of the blocks of neighbours that the monotone weighted least-squares fit pools."""
+    blocks: list[list[float]] = []  # weighted sum, weight, values
+    for v, w in zip(values, weights, strict=True):
+        blocks.append([v * w, w, 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
-            blocks[-1][0] += last[0]
-            blocks[-1][1] += last[1]
-    # half a row of either label keeps pure blocks off 0 and 1
-    return np.array([b[2] for b in blocks]), np.array([(b[0] + 0.5) / (b[1] + 1) for b in blocks])
+            for k in range(3):
+                blocks[-1][k] += last[k]
+    return [int(b[2]) for b in blocks]
+
+
+def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of the monotone fit of y to score: where each begins and its value, by pooling neighbours.
+
+    Equal scores are one step from the start. Half a row of either label keeps pure steps off 0 and 1; as that pulls
+    small steps further than large ones, the steps are pooled again afterwards.
+    """
+    first, back = np.unique(score, return_inverse=True)
+    total, rows = np.bincount(back, y, len(first)), np.bincount(back, minlength=len(first)).astype(float)
+    at = np.cumsum([0, *_pool((total / rows).tolist(), rows.tolist())])[:-1]
+    first, total, rows = first[at], np.add.reduceat(total, at), np.add.reduceat(rows, at)
+    total, rows = total + 0.5, rows + 1
+    at = np.cumsum([0, *_pool((total / rows).tolist(), rows.tolist())])[:-1]
+    return first[at], np.add.reduceat(total, at) / np.add.reduceat(rows, at)
 
 
 class Model:
@@ -222,14 +235,16 @@ class Model:
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """(id, text, y, fold) of at most max_train labelled rows outside the held-out fold.
 
-    Rows are chosen by a hash of their id. Null labels and ids teach nothing; of several labels of an id the largest
-    counts. fold 0 to 4 splits the rows again: the lexicon and the trees learn from all but 1, the calibration from 1.
+    Rows are chosen by a hash of their id, among the ids that docs has. Null labels and ids teach nothing; of several
+    labels of an id the largest counts, of several texts the first by code point. fold 0 to 4 splits the rows again: the
+    lexicon and the trees learn from all but 1, the calibration from 1.
     """
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("y")).filter("id is not null and y is not null")
     known = known.filter(crc_bucket(F.col("id"), FOLDS) != 0).groupBy("id").agg(F.max("y").alias("y"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(max_train)
+    known = known.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_train)
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    return texts.join(F.broadcast(known), "id").select("id", "text", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(5)).cast("int").alias("fold"))
+    rows = texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    return rows.select("id", "text", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(5)).cast("int").alias("fold"))
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
@@ -290,7 +305,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs. Without usable labels every score is 0."""
+    """doc_id, held_out, score, predicted for every row of docs. Without usable labels every score is 0.
+
+    Null and empty texts have the features of a text without words, and the score that follows from them; long texts are
+    read whole. Rows of equal text have equal scores. A row without doc_id is not held out. Other columns, whatever
+    their names, are neither read nor returned. An empty table gives no rows.
+    """
     rows = score(docs.select("doc_id", "text"), fit(docs, labels, max_train))
     predicted = (F.col(f"{OWN}score") >= 0.5).cast("int")
     return rows.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), F.col(f"{OWN}score").alias("score"), predicted.alias("predicted"))
