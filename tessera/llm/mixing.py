@@ -61,12 +61,13 @@ def plan_mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS,
     A source gives floor(target) words: every document floor(target / source_size) times, then documents in key
     order once more until the rest is used up; the document at the cut gives its first words only. Null sources are
     one source. Null and empty texts have size 0 and are taken 0 times. Rows of equal doc_id and size are
-    interchangeable, so reruns agree. An empty table gives no rows.
+    interchangeable, so reruns agree; a row without doc_id is placed by its text. Long texts count whole. Other columns,
+    whatever their names, are neither read nor returned. An empty table gives no rows.
     """
     sized = keep(
         docs.select(
             "doc_id", "source", word_count(F.col("text")).alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("key"),
+            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.coalesce("text", F.lit(""))))).cast("binary")).alias("key"),
         ),
         "mix-sizes",
     )
@@ -118,7 +119,7 @@ def mix(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
 ORACLE = f"""
 WITH s AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-         md5('0:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+         md5('0:' || coalesce(doc_id::VARCHAR, 'null:' || coalesce(text, ''))) AS key
   FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 w AS (
