@@ -26,6 +26,8 @@ MAX_TRAIN = 2000
 #: Documents whose grams are bundled in one matrix product.
 BUNDLE = 64
 UNKNOWN = "und"
+#: Languages that a model can hold; more are an error, not cut off.
+MAX_LANGUAGES = 10_000
 
 
 def letter_vector(code: int) -> np.ndarray:
@@ -125,8 +127,15 @@ def prototypes(docs: DataFrame, max_train: int = MAX_TRAIN) -> dict[str, np.ndar
     bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null and doc_id is not null")
     rows = rows.filter(crc_bucket(F.col("doc_id"), FOLDS) != HELD)
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("l"), (F.lit(float(max_train)) / F.col("n")).alias("rate"))
-    chosen = rows.join(counts, F.col("lang") == F.col("l")).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("lang", "text")
+    # a prototype per language comes to the driver anyway, so the languages' counts may
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
+    if not counts:
+        return {}
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 30, (max_train << 30) // r["n"]))])
+    # rows are chosen where they are: no text is shuffled
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rates[F.col("lang")]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundler, sums = Bundler(), {}
@@ -177,7 +186,12 @@ def identify(docs: DataFrame, protos: dict[str, np.ndarray], text_col: str = "te
 
 
 def languages(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of docs."""
+    """doc_id, held_out, lang_pred, score for every row of docs.
+
+    Null texts and texts without a letter are UNKNOWN with score 0; long texts are read whole. Rows of equal text have
+    equal predictions. A row without doc_id teaches nothing and is not held out. Without training rows all are UNKNOWN.
+    Other columns, whatever their names, are neither read nor returned. An empty table gives no rows.
+    """
     rows = identify(docs.select("doc_id", "text"), prototypes(docs, max_train))
     held = F.coalesce(crc_bucket(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
     return rows.select("doc_id", held.alias("held_out"), F.col(f"{OWN}lang").alias("lang_pred"), F.col(f"{OWN}score").alias("score"))
