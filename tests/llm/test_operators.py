@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import chat, decontaminate, language, mixing, neardup, quality, repeats, token_count, token_files, toxicity
+from tessera.llm import chat, common, decontaminate, language, mixing, neardup, quality, repeats, token_count, token_files, toxicity
 from tessera.llm.queries import QUERIES
 from tests.llm import brute
 
@@ -75,6 +75,68 @@ def test_near_duplicates_many_texts_of_one_id(spark):
     assert {(1, 1), (2, 1), (3, 1), (4, 4)} <= got
 
 
+def test_components_that_share_an_id_are_one(spark):
+    a, b, c = prose(13, 3)
+    rows = [(10, a), (10, b), (10, c), (1, a), (2, b), (3, c), (4, ""), (4, c + " x"), (10, "")]
+    got = rows_of(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute.near_duplicates(rows) and {r[2] for r in got} == {1}
+
+
+def test_keep_one_keeps_one_row(spark, docs, empty):
+    a, b = prose(14, 2)
+    rows = [(7, a, 1), (7, a, 1), (7, a, 2), (9, a, 3), (5, b, 4), (None, a, 5), (None, a, 5), (8, "", 6), (8, None, 7)]
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, __tsr_gone int")).collect()
+    assert sorted((r.doc_id for r in got), key=str) == [5, 7, 8, None, None]
+    kept = neardup.keep_one(docs)
+    want = {i for i, _, _, k in brute.near_duplicates(corpus()) if k}
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == docs.columns and set(ids) == want and len([i for i in ids if i is not None]) == len(want - {None})
+    assert neardup.keep_one(empty).count() == 0
+
+
+def test_hot_keys_are_dealt_out(spark):
+    many = spark.range(3000).selectExpr("if(id % 3 = 0, 1, id) AS k", "id AS v")
+    one = many.select("k").distinct().selectExpr("k", "k * 2 AS w")
+    got = common.salted_join(many, one, ["k"])
+    assert "__tsr_salt" in got._jdf.queryExecution().toString()
+    assert rows_of(got.select("k", "v", "w")) == rows_of(many.join(one, "k").select("k", "v", "w"))
+    assert rows_of(common.salted_join(many, one.filter("k > 5"), ["k"], "left").select("k", "v", "w")) == rows_of(many.join(one.filter("k > 5"), "k", "left").select("k", "v", "w"))
+    assert common.salted_join(many, one.filter("k = 1"), ["k"], "left_semi").count() == 1001
+
+
+def test_own_columns_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "one two", [5], "x")], "doc_id long, text string, __tsr_items array<long>, __tsr_score string")
+    bench = spark.createDataFrame([(3, "one two")], "item_id long, text string")
+    once = decontaminate.find_leaks(docs, bench)
+    twice = decontaminate.find_leaks(once, bench)
+    assert rows_of(once) == rows_of(twice) and once.columns == twice.columns and once.first()["__tsr_items"] == [3]
+
+
+SETTINGS = """
+from pyspark.sql import SparkSession
+import tempfile, sys
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+if sys.argv[1] == "set":
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+from tessera.llm import common
+kept = common.keep(spark.range(3), "x")
+assert kept.count() == 3 and spark.conf.get("spark.checkpoint.dir", None) is None
+folder = common._folder(spark).removeprefix("file:").replace("//", "/")
+print("FOLDER", folder)
+"""
+
+
+@pytest.mark.parametrize("how", ["unset", "set"])
+def test_scratch_without_settings(how, tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    got = subprocess.run([sys.executable, "-c", SETTINGS, how], capture_output=True, text=True, timeout=120, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    folder = [line.split()[1] for line in got.stdout.splitlines() if line.startswith("FOLDER")]
+    assert folder and not os.path.exists(folder[0]), got.stderr[-2000:]
+
+
 def test_min_max_signature_estimates_similarity():
     r = np.random.Generator(np.random.PCG64(1))
     pool = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
@@ -124,12 +186,12 @@ def test_token_counts_of_random_strings():
 
 
 def test_decontamination(spark, empty):
-    items = prose(11, 12) + ["too short an item", None, ""]
+    items = prose(11, 12) + ["too short an item", None, "", "zz-top  again"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     clean = prose(12, 30)
     swapped = " ".join("xx" if k % 7 == 3 else w for k, w in enumerate(items[2].split(" ")))
-    leaks = {100: {0}, 101: {1}, 102: {2}, 103: {3, 4}}
-    texts = {100: clean[0] + " " + items[0] + ". " + clean[1], 101: items[1].upper().replace(" ", ", "), 102: clean[2] + " " + swapped, 103: items[3] + " " + items[4]}
+    leaks = {100: {0}, 101: {1}, 102: {2}, 103: {3, 4}, 104: {12, 15}}
+    texts = {100: clean[0] + " " + items[0] + ". " + clean[1], 101: items[1].upper().replace(" ", ", "), 102: clean[2] + " " + swapped, 103: items[3] + " " + items[4], 104: "Too short: an item, ZZ top again", 105: "too short item zz again top"}
     rows = [(i, t) for i, t in enumerate(clean)] + list(texts.items()) + [(900 + k, t) for k, t in enumerate(ODD)] + [(None, items[5])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for block in (500_000, 60):
@@ -140,6 +202,66 @@ def test_decontamination(spark, empty):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def plain_leaks(items, text):
+    """Items that text overlaps: every diagonal is compared, and stretches of all diagonals are chained."""
+    fold = decontaminate.Words()
+    words, out = fold.hashes([text])[0], set()
+    for k, item in enumerate(items):
+        x = fold.hashes([item])[0]
+        n, best, parts = len(x), 0, []
+        for shift in range(-n + 1, len(words)):
+            row, at = [], 0
+            for i in range(max(0, -shift), min(n, len(words) - shift)):
+                row.append((i, x[i] == words[i + shift]))
+            for a in range(len(row)):  # every stretch from a match to a match
+                score = matched = 0
+                for b in range(a, len(row)):
+                    score += 1 if row[b][1] else -decontaminate.MISMATCH
+                    matched += bool(row[b][1])
+                    if score <= 0:
+                        break
+                    if score > at:
+                        at, found = score, (matched, row[a][0], row[b][0] + 1, shift)
+            if at >= 6:
+                parts.append(found)
+            best = max(best, found[0] if at else 0)
+        need = n if n < decontaminate.MIN_ITEM else min(decontaminate.MIN_MATCH, decontaminate.MIN_SHARE * n)
+        if n and max(best, decontaminate.chained(parts) if n >= decontaminate.MIN_ITEM else 0) >= need:
+            out.add(k)
+    return out
+
+
+def test_decontamination_recall(spark):
+    r = random.Random(21)
+    items = [" ".join(t.split(" ")[: r.randint(9, 40)]) for t in prose(22, 14)] + ["one two three"]
+    filler = prose(23, 70)
+    texts = []
+    for k in range(70):
+        w = items[k % len(items)].split(" ")
+        if k % 5 == 1:
+            w = [x if r.random() > 0.12 else "qq" for x in w]
+        if k % 5 == 2:
+            del w[len(w) // 2]
+        if k % 5 == 3:
+            w.insert(len(w) // 2, "ww")
+        if k % 5 == 4:
+            w = w[: len(w) // 3]
+        texts.append(" ".join([*filler[k].split(" ")[:12], *w, *filler[k].split(" ")[12:20]]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {r.doc_id: set(r["__tsr_items"]) for r in decontaminate.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    want = {k: plain_leaks(items, t) for k, t in enumerate(texts)}
+    n = sum(map(len, want.values()))
+    hit = sum(len(found[k] & want[k]) for k in want)
+    assert n >= 40 and hit >= 0.9 * n and not any(found[k] - want[k] for k in want)
+
+
+def test_apostrophes_are_alike(spark):
+    item = "it's not what you'd think of when you're away from all that's known"
+    docs = spark.createDataFrame([(1, "so " + item.replace("'", "\u2019"))], "doc_id long, text string")
+    got = decontaminate.decontaminate(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).first()
+    assert got.contaminated and got["items"] == [5]
+
+
 def test_chat(spark):
     c = [("system", "s"), ("user", "hello"), ("assistant", "hi <|im_end|>"), ("user", None)]
     rows = []
@@ -172,6 +294,19 @@ def test_repeats_long_and_periodic(spark, monkeypatch):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_suffix_ranks_are_a_suffix_array():
+    r = random.Random(9)
+    for _ in range(60):
+        depth = r.choice([1, 5, 8, 13, 40, 200])
+        text = bytes(r.choice(b"ab") for _ in range(r.randint(depth, 400)))
+        begin = sorted(r.sample(range(len(text) - depth + 1), r.randint(1, len(text) - depth + 1)))
+        rank = repeats.suffix_ranks(np.frombuffer(text, np.uint8), np.array(begin), depth)
+        cut = [text[b : b + depth] for b in begin]
+        order = {x: k for k, x in enumerate(sorted(set(cut)))}
+        assert rank.tolist() == [order[x] for x in cut]
+        assert repeats._again(rank).tolist() == [cut.count(x) > 1 for x in cut]
+
+
 def test_parse_cuts_long_texts(monkeypatch):
     monkeypatch.setattr(repeats, "STRETCH", 700)
     r = random.Random(6)
@@ -243,6 +378,55 @@ def test_isotonic():
     score = np.array([0.1, 0.2, 0.2, 0.3, 0.9])
     steps, values = toxicity.isotonic(score, np.array([0.0, 1, 0, 0, 1]))
     assert list(steps) == sorted(steps) and list(values) == sorted(values)
+    steps, values = toxicity.isotonic(np.arange(101.0), np.array([0.0, 1, *[0] * 99]))
+    assert (np.diff(values) >= 0).all()
+    r = random.Random(5)
+    for _ in range(200):
+        n = r.randint(1, 60)
+        y = np.array([float(r.random() < 0.3) for _ in range(n)])
+        steps, values = toxicity.isotonic(np.array([float(r.randint(0, 20)) for _ in range(n)]), y)
+        assert (np.diff(steps) > 0).all() and (np.diff(values) >= 0).all() and values.min() > 0 and values.max() < 1
+
+
+def plain_isotonic(y, w):
+    """Monotone least squares by its minimax formula."""
+    mean = lambda i, j: sum(a * b for a, b in zip(y[i : j + 1], w[i : j + 1])) / sum(w[i : j + 1])
+    return [max(min(mean(i, j) for j in range(k, len(y))) for i in range(k + 1)) for k in range(len(y))]
+
+
+def test_pooling_is_the_monotone_least_squares_fit():
+    r = random.Random(6)
+    for _ in range(100):
+        y, w = [r.random() for _ in range(12)], [r.randint(1, 5) for _ in range(12)]
+        sizes = toxicity._pool(y, w)
+        at = np.cumsum([0, *sizes])
+        got = [sum(a * b for a, b in zip(y[i:j], w[i:j])) / sum(w[i:j]) for i, j in zip(at, at[1:]) for _ in range(j - i)]
+        assert np.allclose(got, plain_isotonic(y, w))
+
+
+def test_trees_score_as_a_plain_walk():
+    r = np.random.Generator(np.random.PCG64(2))
+    x = r.normal(size=(400, len(toxicity.FEATURES)))
+    y = ((x[:, 0] > 0.5) | (x[:, 3] * x[:, 4] > 1)).astype(float)
+    trees = toxicity.Trees().fit(x, y)
+    got = trees.score(x[:50])
+    for row, have in zip(x[:50], got, strict=True):
+        want = trees.base
+        for feature, edge, value in trees.trees:
+            node = 0
+            for depth in range(toxicity.DEPTH):
+                k = 2**depth - 1 + node
+                node = 2 * node + int(feature[k] >= 0 and row[feature[k]] > edge[k])
+            want += value[node]
+        assert abs(want - have) < 1e-9
+    assert ((trees.score(x) > 0) == (y > 0)).mean() > 0.95
+
+
+def test_training_rows_are_of_documents(spark):
+    docs = spark.createDataFrame([(i, f"t{k}") for i in range(40) for k in range(2)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels, 20).collect()
+    assert len(got) == 20 and {r.text for r in got} == {"t0"} and all(r.id < 40 and zlib.crc32(str(r.id).encode()) % 5 for r in got)
 
 
 def test_language(spark, docs):
@@ -265,6 +449,37 @@ def test_profiles_are_bundles_of_bound_grams():
     assert np.array_equal(got[0], bind("", "a", "b") + bind("a", "b", "")) and not got[1:].any()
 
 
+def plain_language(texts, train):
+    """Best language and cosine of texts, by letter vectors bound, bundled and compared one by one."""
+    def profile(text):
+        low = "".join(c if c.isalpha() else "\0" for c in f" {text.lower()} ")
+        while "\0\0" in low:
+            low = low.replace("\0\0", "\0")
+        out = np.zeros(language.DIMENSIONS)
+        for a, b, c in zip(low, low[1:], low[2:]):
+            if b != "\0" or (a != "\0" and c != "\0"):
+                v = [language.letter_vector(ord(x)) for x in (a, b, c)]
+                out += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+        n = np.linalg.norm(out)
+        return out / n if n else out
+    protos = {}
+    for lang, text in train:
+        protos[lang] = protos.get(lang, 0) + profile(text)
+    protos = {k: v / np.linalg.norm(v) for k, v in sorted(protos.items())}
+    return [max(((float(profile(t) @ v), k) for k, v in protos.items()), key=lambda x: (x[0], x[1])) for t in texts]
+
+
+def test_languages_as_plain_cosines(spark):
+    train = [("x", "hello there my friend"), ("y", "guten tag mein freund"), ("x", "the other one"), ("y", "der andere weg")]
+    rows = [(i, *r) for i, r in zip([k for k in range(99) if zlib.crc32(str(k).encode()) % 4 != 2], train)]
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 == 2][:4]
+    texts = ["there is my other hello", "mein andere freund", "the weg", "der der tag"]
+    docs = spark.createDataFrame(rows + [(k, "x", t) for k, t in zip(held, texts, strict=True)], "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in language.languages(docs).collect()}
+    for k, (cosine, lang) in zip(held, plain_language(texts, train), strict=True):
+        assert got[k].lang_pred == lang and abs(got[k].score - max(0, cosine)) < 1e-4
+
+
 def test_token_files(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     own = Tokenizer.from_file(path)
@@ -288,7 +503,20 @@ def test_sequences_are_read_alone(spark, docs):
     reader = token_files.open_file(part["tokens"])
     flat = np.concatenate([reader.get_batch(k).column(0).flatten().to_numpy() for k in range(reader.num_record_batches)])
     ids, mask = token_files.read_sequence(part["tokens"], 3)
-    assert len(ids) == len(mask) == 32 and np.array_equal(ids, flat[96:128])
+    assert len(ids) == len(mask) == 32 and np.array_equal(ids, flat[96:128]) and mask.all()
+    assert not ids.flags.owndata and not mask.flags.owndata and ids.dtype == np.uint16
+    last, mask = token_files.read_sequence(part["tokens"], -(-part["n_tokens"] // 32) - 1)
+    used = (part["n_tokens"] - 1) % 32 + 1
+    assert mask.tolist() == [1] * used + [0] * (32 - used) and last[used - 1] == token_files.END_ID and not last[used:].any()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_vocabulary_file(spark, docs, name):
+    path = public_tokenizers.path(name)
+    own = Tokenizer.from_file(path)
+    got = sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.token_digest(docs, path, sequence=128).collect() if r.doc_id is not None)
+    ids = [(i, own.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in corpus() if i is not None]
+    assert got == sorted((i, len(x), zlib.crc32(np.asarray(x, "<u4").tobytes())) for i, x in ids)
 
 
 def test_encoder_of_random_strings():
