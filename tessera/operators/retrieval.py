@@ -27,21 +27,31 @@ def suffix_repeated_titles(passages: DataFrame) -> DataFrame:
     return passages.withColumn("title", F.when(k > 1, F.concat("title", F.lit(" ("), k.cast("string"), F.lit(")"))).otherwise(F.col("title")))
 
 
-def index(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """postings (task_id, title, token, tf, dl) and stats (task_id, n, avgdl) of passages with distinct titles."""
+#: Distinct query tokens up to which they are sent to every task; more are joined by shuffling.
+MOST_SENT = 200_000
+
+
+def index(passages: DataFrame, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """postings (task_id, title, token, tf, dl) and stats (task_id, n, avgdl) of passages with distinct titles.
+
+    With wanted (task_id, token), distinct, only the postings of those tokens are made; stats are of all passages.
+    """
     docs = passages.select("task_id", "title", bm25_tokens(F.concat_ws(" ", "title", "text")).alias("tokens"))
     docs = docs.select("task_id", "title", F.size("tokens").alias("dl"), "tokens")
     stats = docs.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = docs.select("task_id", "title", "dl", F.explode("tokens").alias("token")).groupBy("task_id", "title", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    return postings, stats
+    flat = docs.select("task_id", "title", "dl", F.explode("tokens").alias("token"))
+    if wanted is not None:
+        few = wanted.limit(MOST_SENT + 1).count() <= MOST_SENT
+        flat = flat.join(F.broadcast(wanted) if few else wanted, ["task_id", "token"], "left_semi")
+    return flat.groupBy("task_id", "title", "dl", "token").agg(F.count(F.lit(1)).alias("tf")), stats
 
 
 def search(questions: DataFrame, passages: DataFrame, k: int = 3, k1: float = K1, b: float = B) -> DataFrame:
     """questions (qid, task_id, query) to the k best passages: qid, task_id, title, score, rank. Query tokens count as often
-    as they stand in the query; ties go to the smaller title."""
-    postings, stats = index(passages)
-    df = postings.groupBy("task_id", "token").agg(F.count(F.lit(1)).alias("df"))
+    as they stand in the query; ties go to the smaller title. Tokens that no question has are dropped before any shuffle."""
     query = questions.select("qid", "task_id", F.explode(bm25_tokens(F.col("query"))).alias("token")).groupBy("qid", "task_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
+    postings, stats = index(passages, query.select("task_id", "token").distinct())
+    df = postings.groupBy("task_id", "token").agg(F.count(F.lit(1)).alias("df"))
     hit = query.join(df, ["task_id", "token"]).join(postings, ["task_id", "token"]).join(stats, "task_id")
     idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     avgdl = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)

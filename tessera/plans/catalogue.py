@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -586,28 +587,48 @@ def cost_capped_waves(spark, d):
 # ---- streams, drained
 
 
-def _drained(spark, d, make, name, mode):
+def _drained(spark, d, make, mode):
     from tessera.streaming import episodes as S
 
-    return S.drain(make(S.read_events(spark, d)), name, mode, tempfile.mkdtemp(prefix="tessera-stream-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor sees")
+    return S.drain(make(S.read_events(spark, d)), mode, f"{shared or tempfile.mkdtemp(prefix='tessera-stream-')}/stream-{uuid.uuid4().hex}")
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def stream_step_means(spark, d):
     from tessera.streaming import episodes as S
 
-    return _drained(spark, d, S.step_means, "stream_step_means", "complete")
+    return _drained(spark, d, S.step_means, "complete")
 
 
 @query("SELECT count(*)::BIGINT AS n FROM (SELECT DISTINCT event_id FROM events)")
 def stream_dedupe_resume(spark, d):
     from tessera.streaming import episodes as S
 
-    return _drained(spark, d, lambda e: S.first_deliveries(e.unionByName(e), ["event_id"]), "stream_dedupe_resume", "append").agg(F.count(F.lit(1)).alias("n"))
+    return _drained(spark, d, lambda e: S.first_deliveries(e.unionByName(e), ["event_id"]), "append").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_type = 'purchase' AS buy, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, k, buy, 1 AS n FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.buy, CASE WHEN r.buy OR r.n >= 8 THEN 1 ELSE r.n + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, n::INT AS n_turns, buy AS done FROM r WHERE buy OR n >= 8""")
 def stream_episode_state(spark, d):
     from tessera.streaming import episodes as S
 
-    return _drained(spark, d, S.episode_state, "stream_episode_state", "append")
+    return _drained(spark, d, S.episode_state, "append")
+
+
+@query("SELECT 7::BIGINT AS step, event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
+def stream_with_step(spark, d):
+    from tessera.streaming import episodes as S
+
+    steps = spark.range(8).withColumnRenamed("id", "step")
+    return _drained(spark, d, lambda e: S.with_step(e, steps), "append").groupBy("step", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id, min(ts)::TIMESTAMP AS start, count(*)::BIGINT AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
+def stream_sessions(spark, d):
+    from tessera.streaming import episodes as S
+
+    return _drained(spark, d, S.sessions, "complete")

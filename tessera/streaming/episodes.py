@@ -49,21 +49,39 @@ def episode_state(events: DataFrame, cap: int = 8) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n_turns int, done boolean", "n int", "append", "NoTimeout")
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there now and return its rows."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def with_step(events: DataFrame, steps: DataFrame) -> DataFrame:
+    """events with step, the largest of steps (column step, from 0 on) so far; one row is joined to the stream."""
+    return events.crossJoin(F.broadcast(steps.agg(F.coalesce(F.max("step"), F.lit(0)).alias("step"))))
+
+
+def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over all that is there now into folder, and return its rows from there.
+
+    In complete mode the last batch is the result; what restarts from the same folder goes on where it stopped.
+    """
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows" if mode == "complete" else f"{folder}/rows/batch={k}")
+
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return rows.select(*stream.columns)
 
 
-def watch_steps(steps: DataFrame, push: Callable[[int], None], checkpoint: str):
-    """Call push with the largest step of each batch that is above all earlier ones (column step)."""
-    high = [-1]
+def watch_steps(steps: DataFrame, push: Callable[[int], None], folder: str):
+    """Call push with the largest step of each batch that is above all earlier ones (column step).
 
-    def act(batch: DataFrame, _: int) -> None:
+    The mark of what was pushed is a table in folder, beside the stream's checkpoint, so a restart pushes nothing twice
+    but for a push that was cut off before its mark was written.
+    """
+    def act(batch: DataFrame, k: int) -> None:
+        spark, mark = batch.sparkSession, f"{folder}/mark"
+        path = spark._jvm.org.apache.hadoop.fs.Path(mark)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        high = spark.read.schema("step long").parquet(mark).agg(F.max("step")).first()[0] if there else None
         top = batch.agg(F.max("step")).first()[0]
-        if top is not None and top > high[0]:
-            high[0] = top
+        if top is not None and (high is None or top > high):
             push(top)
+            spark.createDataFrame([(top,)], "step long").coalesce(1).write.mode("append").parquet(mark)
 
-    return steps.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return steps.writeStream.foreachBatch(act).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
