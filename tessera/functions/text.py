@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: ASCII punctuation deleted from answers. Fixed value.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 TOOLS = ("search", "read", "answer")
+#: The action line of a turn. Fixed value.
 ACTION = r"(?md)Action:\s*([a-zA-Z_]+)\s*\[(.*)\]\s*$"
 #: Text after any of these at a line's start was not meant by the policy. Fixed value.
 STOP = r"\n(?:Thought:|search results:|\[)"
