@@ -185,3 +185,12 @@ def crc_bucket(col: Column, n: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table documents, dealt to as many tasks as run at once where its files split into fewer.
+
+    Passes over texts take far longer than moving them once; where files split enough, nothing is moved.
+    """
+    docs, most = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= most else docs.repartition(most)
