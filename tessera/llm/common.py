@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 OWN = "__tsr_"
 #: Words everywhere are maximal runs of bytes other than these six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
-#: salted_join: shares of an average partition above which a key is hot, and rows that never make one hot.
+#: hot_keys: shares of an average partition above which a key is hot, and rows that never make one hot.
 SHARE, MIN_HOT = 4, 64
 
 
@@ -96,22 +96,35 @@ def bound_batches(spark: SparkSession) -> None:
 def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", held: str | None = None) -> DataFrame:
     """many joined with one, which has a row per key, on keys that are never null; no key's rows go to a single task.
 
-    A key is hot if it holds more than 1 / SHARE of an average shuffle partition of many. So hot keys are fewer than
-    SHARE times the partitions, which bounds what is collected and broadcast about them: a key and a number each. Rows
-    of a hot key are dealt to as many places as it holds such shares, and its row of one is copied to each: in all
-    fewer than twice the bound. held names a column of one that has the number of a key's rows in many, if there is one.
-    Both tables are read more than once.
+    held names a column of one that has the number of a key's rows in many, if there is one; how is inner then. The
+    table that has the numbers is read more than once.
+    """
+    counts = one.select(*keys, F.col(held).alias("n")) if held else many.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return dealt_join(many, one, keys, *hot_keys(counts), how)
+
+
+def hot_keys(counts: DataFrame) -> tuple[int, list[tuple]]:
+    """The bound above which a key is hot, and the hot ones among counts (keys, n) with their n.
+
+    A key is hot if it holds more than 1 / SHARE of an average shuffle partition of all counted rows. So hot keys are
+    fewer than SHARE times the partitions, which bounds what is collected about them. As nothing up to MIN_HOT counts
+    as hot, small tables have none.
+    """
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = max(MIN_HOT, (total or 0) // (SHARE * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return limit, [tuple(r) for r in counts.filter(F.col("n") > limit).collect()] if (most or 0) > limit else []
+
+
+def dealt_join(many: DataFrame, one: DataFrame, keys: list[str], limit: int, hot: list[tuple], how: str = "inner") -> DataFrame:
+    """many joined with one, the rows of a hot key (keys, n) dealt to n / limit places.
+
+    Its row of one is copied to each of them: in all fewer copies than twice the bound on hot keys, and the list of
+    hot keys, which is broadcast, is as bounded.
     """
-    spark = many.sparkSession
-    places = SHARE * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = one.select(*keys, F.col(held).alias(f"{OWN}n")) if held else many.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{OWN}n"))
-    # as nothing smaller counts as hot, small tables are joined plainly
-    limit = max(MIN_HOT, many.count() // places)
-    hot = [tuple(r) for r in counts.filter(F.col(f"{OWN}n") > limit).collect()]
     if not hot:
         return many.join(one, keys, how)
     schema = T.StructType([*[many.schema[k] for k in keys], T.StructField(f"{OWN}salts", T.LongType())])
-    salts = F.broadcast(spark.createDataFrame([(*k, -(-n // limit)) for *k, n in hot], schema))
+    salts = F.broadcast(many.sparkSession.createDataFrame([(*k, -(-n // limit)) for *k, n in hot], schema))
     n = F.coalesce(F.col(f"{OWN}salts"), F.lit(1))
     rest = [c for c in many.columns if c not in keys]
     dealt = F.pmod(F.xxhash64(*(rest or keys)), n) if rest else F.floor(F.rand(7) * n).cast("long")

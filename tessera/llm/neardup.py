@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, forget, keep, pieces, release, salted_join, shared_dir
+from tessera.llm.common import bound_batches, dealt_join, forget, hot_keys, keep, pieces, release, salted_join, shared_dir
 
 SHINGLE = 5
 #: Hash functions, and signature values in a band: 2 * PERMUTATIONS / ROWS bands.
@@ -133,18 +133,17 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     A text that stands in very many pairs, as a group's centre does, is dealt to many tasks on either side.
     """
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    sized = salted_join(salted_join(pairs, left, ["a"]), right, ["b"]) if _any(pairs) else pairs.join(left, "a").join(right, "b")
+    ends = F.explode(F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("id")) for x in ("a", "b")]))
+    limit, hot = hot_keys(pairs.select(ends.alias("end")).groupBy("end.side", "end.id").agg(F.count(F.lit(1)).alias("n")))
+    sized = pairs
+    for x in ("a", "b"):
+        mine = sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
+        sized = dealt_join(sized, mine, [x], limit, [(k, n) for side, k, n in hot if side == x])
     sized = sized.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return sized.withColumn("both", both).filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * PERCENT).select("a", "b")
 
 
-def _any(rows: DataFrame) -> bool:
-    return not rows.isEmpty()
-
-
 def components(links: DataFrame) -> DataFrame:
     """Nodes of links (a, b) with the least id they are connected to: id, component.
 
@@ -217,9 +216,10 @@ def linked(buckets: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFra
     for turn in range(rounds + 1):
         pairs = keep(_star_pairs(rows, turn) if turn < rounds else _prefix_pairs(rows, sets), "neardup-pairs")
         got = confirm(pairs, sets)
+        last = [pairs] if links is None else [pairs, links]
         links = keep(got if links is None else links.unionByName(got).distinct(), "neardup-links")
         found = components(links).checkpoint()
-        release(pairs)
+        release(*last)
         if turn < rounds:
             named = keep(_label(rows.drop("c"), found), "neardup-named")
             rows = keep(_open(named), "neardup-rows")
@@ -246,6 +246,7 @@ def near_duplicates(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     equal = keep(full.groupBy(*same).agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.count(F.lit(1)).alias("held")), "neardup-equal")
     flat = equal.select("id", F.explode("bands").alias("key"))
     shared = flat.groupBy("key").agg(F.min("id").alias("i0"), F.max("id").alias("i1"), F.count(F.lit(1)).alias("held")).filter("i0 <> i1").select("key", "held")
+    shared = keep(shared, "neardup-shared")
     buckets = salted_join(flat, shared, ["key"], held="held").drop("held")
     buckets = keep(buckets.distinct() if repeated else buckets, "neardup-buckets")
     nodes = buckets.select("id").distinct()
@@ -253,7 +254,7 @@ def near_duplicates(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     # a doc_id of several rows has several sets; any of them may link it
     sets = keep(sets.distinct() if repeated else sets, "neardup-sets")
     found = linked(buckets, sets, rounds)
-    release(buckets, sets)
+    release(shared, buckets, sets)
     # a component is found per set, then each row has that of its set
     named = _label(equal.select(*same, "id", "held"), found).drop("id")
     out = salted_join(full.select("doc_id", *same), named, same, held="held").select("doc_id", "n_shingles", F.col("c").alias("component_id"))
