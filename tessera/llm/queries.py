@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, language, mixing, neardup, quality, repeats, token_count, token_files, toxicity
+from tessera.llm import chat, codes, decontaminate, language, mixing, neardup, negatives, phrases, quality, repeats, token_count, token_files, toxicity
 from tessera.llm.common import documents, table
 
 
@@ -56,8 +56,26 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeated_words(documents(spark, sf_dir))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_neardup, op2_mix_sources, op3_token_counts, op4_decontaminate, op5_chat_format, op6_repeated_passages, op7_quality_rules, op8_toxicity, op9_language_id, op10_token_files)
+    for f in (op1_minhash_neardup, op2_mix_sources, op3_token_counts, op4_decontaminate, op5_chat_format, op6_repeated_passages, op7_quality_rules, op8_toxicity, op9_language_id, op10_token_files, op11_vector_codes, op12_repeated_phrases, op13_hard_negatives)
+}
+ORACLES: dict[str, str] = {
+    "op2_mix_sources": mixing.ORACLE,
+    "op5_chat_format": chat.ORACLE,
+    "op11_vector_codes": codes.ORACLE,
+    "op12_repeated_phrases": phrases.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
 }
-ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op5_chat_format": chat.ORACLE}

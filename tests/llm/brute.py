@@ -76,3 +76,74 @@ def quality_base(text):
         if count[tuple(w[i : i + 8])] > 1:
             marked.update(range(i, i + 8))
     return len(w), sum(len(x.decode("utf-8", "surrogatepass")) for x in w), sum(c in "#*$%&|<>" for c in text), dup, len(marked)
+
+
+def window_removals(rows, width=13):
+    """rows (doc_id, text) to sorted rows of doc_id, n_words, n_removed, kept_sha256."""
+    split = [(i, words(t)) for i, t in rows]
+    low = {}
+    for i, w in split:
+        for k in range(len(w) - width + 1):
+            if i is not None:
+                key = tuple(w[k : k + width])
+                low[key] = min(low.get(key, i), i)
+    out = []
+    for i, w in split:
+        gone = bytearray(len(w))
+        for k in range(len(w) - width + 1):
+            if i is not None and low[tuple(w[k : k + width])] < i:
+                gone[k : k + width] = b"\x01" * width
+        left = b" ".join(x for x, g in zip(w, gone) if not g)
+        out.append((i, len(w), sum(gone), hashlib.sha256(left).hexdigest()))
+    return sorted(out, key=str)
+
+
+def whole(vector):
+    """floor(256 * x) of a vector's components, or None where it takes no part."""
+    if vector is None or any(x is None or x != x or abs(x) == float("inf") for x in vector):
+        return None
+    return [int((256 * x) // 1) for x in vector]
+
+
+def codes(rows, parts=16, entries=64, rounds=2):
+    """rows (vec_id, label, vector) to sorted rows of vec_id, code, error, label_error, codebooks_sha256."""
+    kept = [(i, lab, whole(v)) for i, lab, v in rows if whole(v) is not None]
+    if not kept:
+        return []
+    d = len(kept[0][2]) // parts
+    cut = [(i, lab, [w[p * d : p * d + d] for p in range(parts)]) for i, lab, w in kept]
+    first = {}
+    for i, _, w in sorted((r for r in cut if r[0] is not None), key=lambda r: (r[0], r[2])):
+        first.setdefault(i, w)
+    seeds = [first[i] for i in sorted(first)[:entries]]
+    books = [[s[p] for s in seeds] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    nearest = lambda p, v: min(range(len(books[p])), key=lambda e: (far(v, books[p][e]), e))
+    for _ in range(rounds):
+        held = [[[] for _ in b] for b in books]
+        for _, _, w in cut:
+            for p in range(parts):
+                held[p][nearest(p, w[p])].append(w[p])
+        books = [[[sum(c) // len(c) for c in zip(*vs)] if vs else books[p][e] for e, vs in enumerate(held[p])] for p in range(parts)]
+    sha = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    out, by = [], Counter()
+    for i, lab, w in cut:
+        code = [nearest(p, w[p]) for p in range(parts)]
+        error = sum(far(w[p], books[p][e]) for p, e in enumerate(code))
+        by[lab] += error
+        out.append((i, lab, "".join(f"{e:02x}" for e in code), error))
+    return sorted(((i, code, error, by[lab], sha) for i, lab, code, error in out), key=str)
+
+
+def negatives(rows):
+    """rows (vec_id, label, vector), one an id, to sorted rows of anchor, positive, rank, negative and both scores."""
+    kept = [(i, (lab + 1) % 10 if i % 7 == 0 else lab, whole(v)) for i, lab, v in rows if None not in (i, lab) and whole(v) is not None]
+    out = []
+    for i, lab, w in kept:
+        if i % 100:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(w, v)), j, other == lab) for j, other, v in kept if j != i)
+        for s, j, _ in [r for r in scored if r[2]][:5]:
+            found = [r for r in scored if not r[2] and 80 * -s <= 100 * -r[0] <= 100 * -s][:5]
+            out += [(i, j, k + 1, n, -s, -t) for k, (t, n, _) in enumerate(found)]
+    return sorted(out)
