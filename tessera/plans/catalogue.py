@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +14,7 @@ from tessera.operators import evaluation as V
 from tessera.operators import retrieval as R
 from tessera.plans import views
 from tessera.plans.views import CHAIN, table
+from tessera.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -590,10 +589,7 @@ def cost_capped_waves(spark, d):
 def _drained(spark, d, make, mode):
     from tessera.streaming import episodes as S
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor sees")
-    return S.drain(make(S.read_events(spark, d)), mode, f"{shared or tempfile.mkdtemp(prefix='tessera-stream-')}/stream-{uuid.uuid4().hex}")
+    return S.drain(make(S.read_events(spark, d)), mode, shared_folder(spark, "stream"))
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +28,14 @@ def build(name: str = "tessera", master: str | None = None, shuffle_partitions:
     spark = builder.config(map=settings | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's URI below spark.checkpoint.dir, which every executor sees; a local master may do without it (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor sees")
+        shared = tempfile.mkdtemp(prefix="tessera-shared-")
+    shared = shared if ":/" in shared else f"file://{shared}"
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
