@@ -6,9 +6,9 @@ have equal triggers. Neighbouring windows of one trigger are a phrase. A trigger
 can't hold a repeat, and its phrases never move.
 
 The phrases of the other triggers are cut from all documents, once a shard, and go to the shard of automata that owns
-their trigger. There windows that stand in documents of different ids are confirmed word by word and compiled into an
-Aho-Corasick automaton over word numbers, and all phrases sent there are streamed through it, which locates every
-occurrence of every confirmed window. What it locates goes back to the documents' shards as places in phrases with the
+their trigger. There windows that stand in documents of different ids are confirmed word by word and compiled, as
+passages, into an Aho-Corasick automaton over word numbers, and all phrases sent there are streamed through it, which
+locates every occurrence of every confirmed window. What it locates goes back to the documents' shards as places in phrases with the
 smallest id that has the window. A trigger with more than IN_TASK phrases, as a common line in very many contexts makes,
 has its windows sent instead, each to the automaton that owns the window, once a shard. So a group is bounded
 by IN_TASK phrases or by the number of shards.
@@ -37,8 +37,8 @@ WINDOW, GRAM = 13, 7
 STRETCH = 1 << 20
 #: Phrases of a trigger, over all shards, that meet in one automaton.
 IN_TASK = 1000
-#: Bytes of phrases that are compiled into one automaton, at about WINDOW nodes a window.
-COMPILED = 4 << 20
+#: Bytes of phrases that are compiled into one automaton; its root is searched in line, so larger ones take longer.
+COMPILED = 1 << 19
 #: Distinct phrases of a shard that are held as Python objects.
 HELD = 100_000
 
@@ -90,11 +90,10 @@ def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Text:
-    """Some documents' bytes behind each other, with a blank after each: words, their hashes, and where documents' words begin."""
+    """Some documents' words: as bytes with one blank after each, where each begins there, hashes, and where documents' words begin."""
 
-    data: np.ndarray
+    data: bytes
     begin: np.ndarray
-    end: np.ndarray
     hashed: np.ndarray
     first: np.ndarray
 
@@ -103,11 +102,19 @@ class Text:
         data = np.frombuffer(b"".join(r + b" " for r in raws), np.uint8)
         begin, end = split(data)
         stops = np.cumsum([0, *(len(r) + 1 for r in raws)])
-        return cls(data, begin, end, _hashes(data, begin, end), np.searchsorted(begin, stops))
+        first = np.searchsorted(begin, stops)
+        # each word with the blank behind it
+        blank = _BLANK[data]
+        kept = ~blank
+        kept[end] = True
+        data = np.where(blank, np.uint8(0x20), data)[kept]
+        size = end - begin
+        begin = np.cumsum(size + 1) - size - 1
+        return cls(data.tobytes(), np.r_[begin, len(data)], _hashes(data, begin, begin + size), first)
 
     def words(self, first: int, n: int) -> bytes:
         """n words from the given one on, one blank between them."""
-        return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.begin[first : first + n].tolist(), self.end[first : first + n].tolist(), strict=True))
+        return self.data[self.begin[first] : self.begin[first + n] - 1]
 
 
 @dataclass
@@ -182,6 +189,11 @@ def _named(ids: list, found: Parse) -> tuple[Parse, np.ndarray]:
     return found, np.array([i or 0 for i in ids], np.int64)[found.doc]
 
 
+def _member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """For each of x whether it is among some sorted values."""
+    return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x if len(among) else np.zeros(len(x), bool)
+
+
 def _least_and_most(order: np.ndarray, fresh: np.ndarray, *values: tuple[np.ndarray, np.ufunc]) -> list[np.ndarray]:
     starts = np.flatnonzero(fresh)
     return [by.reduceat(v[order], starts) if len(starts) else v[:0] for v, by in values]
@@ -214,6 +226,7 @@ def _second_pass(table: pa.Table) -> pa.Table:
     table = table.filter(pc.is_valid(table.column("trigger")))
     told = table.column("trigger").to_numpy().view(np.uint64)
     apart = pc.equal(table.column("apart"), True).to_numpy()
+    together, apart = np.sort(told[~apart]), np.sort(told[apart])
     held: dict[tuple[int, int], list] = {}
     out = [pa.table({c: pa.array([], t) for c, t in zip(("key", "mark", "low", "high", "raw"), (*[pa.int64()] * 4, pa.binary()), strict=True)})]
 
@@ -227,8 +240,8 @@ def _second_pass(table: pa.Table) -> pa.Table:
     for ids, raws in _texts(uri) if len(told) else ():
         text = Text.of(raws)
         found, doc_id = _named(ids, parse(text))
-        whole = np.isin(found.trigger, told[~apart])
-        first, row = _spread(found.begin, np.where(np.isin(found.trigger, told[apart]), found.windows, 0))
+        whole = _member(found.trigger, together)
+        first, row = _spread(found.begin, np.where(_member(found.trigger, apart), found.windows, 0))
         key, mark = window_keys(text.hashed, first)
         key, mark = np.r_[found.trigger[whole], key], np.r_[found.mark[whole], mark]
         first, size = np.r_[found.begin[whole], first], np.r_[found.windows[whole] + WINDOW - 1, np.full(len(first), WINDOW)]
@@ -250,41 +263,73 @@ def _second_pass(table: pa.Table) -> pa.Table:
     return made.add_column(2, "shard", pa.array(np.full(made.num_rows, shard, np.int32)))
 
 
-def locate(phrases: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
-    """(low, high, words) of phrases to (phrase, window, least id) for each of their windows that stands in two ids.
+def _same_windows(words: np.ndarray) -> np.ndarray:
+    """A number for each run of WINDOW words, equal for equal runs: numbers of runs are doubled, so nothing is hashed."""
+    reach, rank = 1, words
+    while reach < WINDOW:
+        step = min(reach, WINDOW - reach)
+        pair = rank[: len(rank) - step] * (rank.max(initial=0) + 1) + rank[step:]
+        rank = np.unique(pair, return_inverse=True)[1]
+        reach += step
+    return rank
+
 
-    Windows that recur are confirmed on their words, compiled into an automaton over word numbers, and located by
-    streaming all phrases through it, with a number that is no word between them.
+def locate(phrases: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
+    """(low, high, words) of phrases to runs (phrase, first window, count, least id) of windows that stand in two ids.
+
+    Windows that recur are confirmed on their words. Those that only ever stand next to each other are one passage;
+    passages are compiled into an automaton over word numbers, and located by streaming all different phrases through
+    it, with a number that is no word between them.
     """
     numbers: dict[bytes, int] = {}
-    streams = [[numbers.setdefault(w, len(numbers) + 1) for w in raw.split(b" ")] for _, _, raw in phrases]
-    seen: dict[tuple, list[int]] = {}
-    for (low, high, _), stream in zip(phrases, streams, strict=True):
-        for k in range(len(stream) - WINDOW + 1):
-            window = tuple(stream[k : k + WINDOW])
-            have = seen.get(window)
-            if have is None:
-                seen[window] = [low, high]
-            else:
-                have[0], have[1] = min(have[0], low), max(have[1], high)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    least = []
-    for window, (low, high) in seen.items():
-        if low < high:
-            automaton.add_word(window, len(least))
-            least.append(low)
-    if not least:
+    place: dict[bytes, int] = {}
+    of = np.array([place.setdefault(raw, len(place)) for _, _, raw in phrases])
+    stream: list[int] = []
+    start = [0]
+    for raw in place:
+        stream += [numbers.setdefault(w, len(numbers) + 1) for w in raw.split(b" ")]
+        stream.append(0)
+        start.append(len(stream))
+    low, high = (np.array([p[k] for p in phrases], np.int64) for k in (0, 1))
+    least, most = np.full(len(place), np.iinfo(np.int64).max), np.full(len(place), np.iinfo(np.int64).min)
+    np.minimum.at(least, of, low)
+    np.maximum.at(most, of, high)
+    begin = np.array(start)
+    phrase = np.repeat(np.arange(len(place)), np.diff(begin))
+    # a window that reaches over a phrase's end holds a 0
+    at, row = _spread(begin[:-1], np.diff(begin) - WINDOW)
+    same = _same_windows(np.array(stream, np.int64))[at]
+    kinds, same, total = np.unique(same, return_inverse=True, return_counts=True)
+    least_of, most_of = np.full(len(kinds), np.iinfo(np.int64).max), np.full(len(kinds), np.iinfo(np.int64).min)
+    np.minimum.at(least_of, same, least[row])
+    np.maximum.at(most_of, same, most[row])
+    # neighbouring windows that only ever stand together are one passage, and so stand in the same documents
+    pair, pairs = np.unique(same[:-1] * len(kinds) + same[1:] + np.where(row[1:] == row[:-1], 0, len(kinds) ** 2), return_inverse=True, return_counts=True)[1:]
+    together = (row[1:] == row[:-1]) & (pairs[pair] == total[same[:-1]]) & (pairs[pair] == total[same[1:]])
+    head = np.flatnonzero(np.r_[True, ~together])
+    size = np.diff(np.r_[head, len(same)])
+    passage, once = np.unique(same[head], return_index=True)
+    confirmed = np.flatnonzero(least_of[passage] < most_of[passage])
+    if not len(confirmed):
         return
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    windows = size[once[confirmed]]
+    for k, (i, n) in enumerate(zip(at[head[once[confirmed]]].tolist(), windows.tolist(), strict=True)):
+        automaton.add_word(tuple(stream[i : i + n + WINDOW - 1]), k)
     automaton.make_automaton()
-    whole: list[int] = []
-    start = np.zeros(len(streams) + 1, np.int64)
-    for i, stream in enumerate(streams):
-        whole += stream
-        whole.append(0)
-        start[i + 1] = len(whole)
-    for end, which in automaton.iter(tuple(whole)):
-        i = int(np.searchsorted(start, end, side="right")) - 1
-        yield i, end - WINDOW + 1 - int(start[i]), least[which]
+    hits = np.array(list(automaton.iter(tuple(stream))), np.int64)
+    long = windows[hits[:, 1]]
+    place_of, owner = hits[:, 0] - WINDOW - long + 2, least_of[passage[confirmed]][hits[:, 1]]
+    order = np.argsort(place_of, kind="stable")
+    place_of, owner, long = place_of[order], owner[order], long[order]
+    inside = phrase[place_of]
+    edge = np.flatnonzero(np.r_[True, (inside[1:] != inside[:-1]) | (place_of[1:] != (place_of + long)[:-1]) | (owner[1:] != owner[:-1])])
+    count = np.add.reduceat(long, edge)
+    runs_of = inside[edge]
+    # every row of a phrase is told its runs
+    bounds = np.searchsorted(runs_of, np.arange(len(place) + 1))
+    run, told = _spread(bounds[of], bounds[of + 1] - bounds[of])
+    yield from zip(told.tolist(), (place_of[edge] - begin[runs_of])[run].tolist(), count[run].tolist(), owner[edge][run].tolist(), strict=True)
 
 
 FOUND = "shard int, key long, mark long, first int, count int, low long"
@@ -292,14 +337,7 @@ FOUND = "shard int, key long, mark long, first int, count int, low long"
 
 def _compiled(rows: list[tuple]) -> pa.RecordBatch:
     """Rows (key, mark, shard, low, high, raw) to runs of their located windows that have the same least id."""
-    found: list[list] = []
-    for i, k, low in locate([r[3:] for r in rows]):
-        last = found[-1] if found else None
-        if last and last[0] == i and last[1] + last[2] == k and last[3] == low:
-            last[2] += 1
-        else:
-            found.append([i, k, 1, low])
-    columns = list(zip(*((rows[i][2], *rows[i][:2], k, n, low) for i, k, n, low in found), strict=True)) or [()] * 6
+    columns = list(zip(*((rows[i][2], *rows[i][:2], k, n, low) for i, k, n, low in locate([r[3:] for r in rows])), strict=True)) or [()] * 6
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "key", "mark", "first", "count", "low"])
 
@@ -322,45 +360,52 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text binary"
 
 
-def _join(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of a, which may repeat, and of b, whose rows may repeat too, with equal values."""
-    order, fresh = _groups(np.r_[a[0], b[0]], np.r_[a[1], b[1]])
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(fresh) - 1
-    left, right = number[: len(a[0])], number[len(a[0]) :]
-    by = np.argsort(right, kind="stable")
-    low, high = np.searchsorted(right[by], left), np.searchsorted(right[by], left, side="right")
-    at, row = _spread(low, high - low)
-    return row, by[at]
+class _Told:
+    """What a shard is told about phrases or windows, by their two hashes."""
+
+    def __init__(self, key: np.ndarray, mark: np.ndarray) -> None:
+        print_ = self._print(key, mark)
+        self.order = np.argsort(print_, kind="stable")
+        self.print, self.key, self.mark = print_[self.order], key[self.order], mark[self.order]
+
+    @staticmethod
+    def _print(key: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        return key * np.uint64(_BASE) + mark
+
+    def join(self, key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the given hashes, and of what was told, that have both equal."""
+        print_ = self._print(key, mark)
+        low, high = np.searchsorted(self.print, print_), np.searchsorted(self.print, print_, side="right")
+        at, row = _spread(low, high - low)
+        same = (self.key[at] == key[row]) & (self.mark[at] == mark[row])
+        return row[same], self.order[at[same]]
 
 
 def _last_pass(texts: bool):
     def run(table: pa.Table) -> pa.Table:
         """A shard's documents without the words that the located windows cover, where a smaller id has them."""
         uris = table.column("uri").drop_null()
-        found = table.filter(pc.is_valid(table.column("key")))
+        found = table.filter(pc.is_valid(table.column("low")))
         key, mark = (found.column(c).to_numpy().view(np.uint64) for c in ("key", "mark"))
         place, count, low = (found.column(c).to_numpy() for c in ("first", "count", "low"))
+        told = _Told(key, mark)
+        apart = np.sort(table.filter(pc.is_null(table.column("low"))).column("key").drop_null().to_numpy().view(np.uint64))
         rows: list[tuple] = []
         for ids, raws in _texts(uris[0].as_py()):
             text = Text.of(raws)
             phrases, doc_id = _named(ids, parse(text))
-            at = np.flatnonzero(np.isin(phrases.trigger, key))
-            row, told = _join((phrases.trigger[at], phrases.mark[at]), (key, mark))
-            begin, run = _spread(phrases.begin[at][row] + place[told], count[told])
-            owner, least = doc_id[at][row][run], low[told][run]
+            row, run = told.join(phrases.trigger, phrases.mark)
+            begin, part = _spread(phrases.begin[row] + place[run], count[run])
+            owner, least = doc_id[row][part], low[run][part]
             # windows that were sent apart stand under their own two hashes
-            first, row = _spread(phrases.begin, phrases.windows)
-            one, two = window_keys(text.hashed, first)
-            at = np.flatnonzero(np.isin(one, key))
-            some, told = _join((one[at], two[at]), (key, mark))
-            begin, owner, least = np.r_[begin, first[at][some]], np.r_[owner, doc_id[row[at]][some]], np.r_[least, low[told]]
+            first, row = _spread(phrases.begin, np.where(_member(phrases.trigger, apart), phrases.windows, 0))
+            some, run = told.join(*window_keys(text.hashed, first))
+            begin, owner, least = np.r_[begin, first[some]], np.r_[owner, doc_id[row[some]]], np.r_[least, low[run]]
             begin = begin[least < owner]
-            edges = np.zeros(len(text.begin) + 1, np.int64)
+            edges = np.zeros(len(text.begin), np.int64)
             np.add.at(edges, begin, 1)
             np.add.at(edges, begin + WINDOW, -1)
-            gone = np.cumsum(edges[:-1]) > 0
-            rows += _digests(ids, text, gone, texts)
+            rows += _digests(ids, text, np.cumsum(edges[:-1]) > 0, texts)
         columns = list(zip(*rows, strict=True)) or [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
@@ -369,19 +414,16 @@ def _last_pass(texts: bool):
 
 
 def _digests(ids: list, text: Text, gone: np.ndarray, texts: bool) -> Iterator[tuple]:
-    """Each document's digest: its kept words with one blank after each but the last."""
-    left = np.flatnonzero(~gone)
-    edges = np.zeros(len(text.data) + 2, np.int8)
-    edges[text.begin[left]] += 1
-    edges[text.end[left] + 1] -= 1
-    data = np.where(_BLANK[text.data], np.uint8(0x20), text.data)[np.cumsum(edges[:-2], dtype=np.int8) > 0]
-    stops = np.r_[0, np.cumsum(text.end[left] - text.begin[left] + 1)]
-    bounds = np.searchsorted(left, text.first)
+    """Each document's digest: its kept words with one blank between them."""
+    data, size = text.data, np.diff(text.begin)
+    if gone.any():
+        data = np.frombuffer(data, np.uint8)[np.repeat(~gone, size)].tobytes()
+    stops = np.r_[0, np.cumsum(np.where(gone, 0, size))]
+    left = np.r_[0, np.cumsum(~gone)]
     for k, doc_id in enumerate(ids):
-        a, b = stops[bounds[k]], stops[bounds[k + 1]]
-        kept = data[a : max(a, b - 1)].tobytes()
-        n = int(text.first[k + 1] - text.first[k])
-        yield doc_id, n, n - int(bounds[k + 1] - bounds[k]), hashlib.sha256(kept).hexdigest(), kept if texts else None
+        i, j = int(text.first[k]), int(text.first[k + 1])
+        kept = data[stops[i] : max(stops[i], stops[j] - 1)]
+        yield doc_id, j - i, j - i - int(left[j] - left[i]), hashlib.sha256(kept).hexdigest(), kept if texts else None
 
 
 def remove_repeated_words(docs: DataFrame, in_task: int = IN_TASK, texts: bool = False) -> DataFrame:
@@ -403,10 +445,11 @@ def remove_repeated_words(docs: DataFrame, in_task: int = IN_TASK, texts: bool =
     notes = shards.repartitionByRange(n, "shard").mapInArrow(_first_pass, NOTES)
     by = Window.partitionBy("trigger")
     met = notes.withColumns({"least": F.min("low").over(by), "most": F.max("high").over(by), "all": F.sum("n").over(by)}).filter("least < most")
-    told = met.select("shard", "trigger", (F.col("all") > in_task).alias("apart")).unionByName(shards, allowMissingColumns=True)
-    phrases = keep(told.repartition(2 * n, "shard").groupBy("shard").applyInArrow(_second_pass, PHRASES), "phrases-cut")
+    told = keep(met.select("shard", "trigger", (F.col("all") > in_task).alias("apart")), "phrases-told")
+    phrases = keep(told.unionByName(shards, allowMissingColumns=True).repartition(2 * n, "shard").groupBy("shard").applyInArrow(_second_pass, PHRASES), "phrases-cut")
     found = phrases.repartition("key").sortWithinPartitions("key").mapInArrow(_located, FOUND)
-    news = found.withColumn("uri", F.lit(None).cast("string")).unionByName(shards, allowMissingColumns=True)
+    apart = told.filter("apart").select("shard", F.col("trigger").alias("key"))
+    news = found.unionByName(apart.unionByName(shards, allowMissingColumns=True), allowMissingColumns=True)
     out = news.repartition(2 * n, "shard").groupBy("shard").applyInArrow(_last_pass(texts), RESULT)
     return out if texts else out.drop("kept_text")
 
