@@ -45,7 +45,7 @@ def assemble(steps: DataFrame, tasks: DataFrame) -> DataFrame:
     return eps.withColumns({
         "done": F.exists("steps", lambda s: s["name"].eqNullSafe(F.lit("answer"))), "final_answer": last["payload"],
         "n_steps": F.size("steps"), "n_tool_calls": count(lambda s: s["name"].isNotNull()), "n_searches": count(lambda s: s["name"] == "search"),
-        "n_reads": count(lambda s: s["name"] == "read"), "n_bad": count(lambda s: ~s["parse_ok"] | s["error"].isNotNull()),
+        "n_reads": count(lambda s: s["name"] == "read"), "n_bad": count(lambda s: ~s["parse_ok"] | s["error"].isNotNull()), "n_unparsed": count(lambda s: ~s["parse_ok"]),
         "retrieved": F.array_distinct(F.flatten(F.transform("steps", lambda s: s["titles"]))),
     })
 
@@ -92,16 +92,8 @@ def citation_report(episodes: DataFrame) -> DataFrame:
 
 
 def format_error(episodes: DataFrame) -> Column:
-    """1 without steps, else bad steps' share plus a half if the episode isn't done, at most 1."""
-    return F.when(F.col("n_steps") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("n_bad") / F.greatest("n_steps", F.lit(1)) + F.when(F.col("done"), 0.0).otherwise(0.5)))
-
-
-def reward(rows: DataFrame, mode: str = "gated", beta: float = 0.5, floor: float = 0.5, w_outcome: float = 1.0, w_ground: float = 0.5, w_fab: float = 0.25, w_format: float = 0.1, w_steps: float = 0.0) -> Column:
-    """Reward of rows with outcome, f1, n_citations, n_fabricated, format_error and n_steps."""
-    o, g = F.col("outcome"), F.col("f1")
-    core = {"gated": o * (beta + (1 - beta) * g), "additive": w_outcome * o + w_ground * g, "cite_gated": F.when(F.col("n_citations") > 0, o * (floor + (1 - floor) * g)).otherwise(0.0)}[mode]
-    fab = _ratio(F.col("n_fabricated"), F.col("n_citations"), 0.0)
-    return core - (w_fab * fab + w_format * F.col("format_error") + w_steps * F.col("n_steps"))
+    """1 without steps, else the share of steps whose action didn't parse plus a half if the episode isn't done, at most 1."""
+    return F.when(F.col("n_steps") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("n_unparsed") / F.greatest("n_steps", F.lit(1)) + F.when(F.col("done"), 0.0).otherwise(0.5)))
 
 
 def eval_rows(episodes: DataFrame, report: DataFrame, max_turns: int = MAX_TURNS) -> DataFrame:

@@ -12,6 +12,7 @@ from tessera.operators import datasets as D
 from tessera.operators import episode as E
 from tessera.operators import evaluation as V
 from tessera.operators import retrieval as R
+from tessera.operators import rewards as W
 from tessera.plans import views
 from tessera.plans.views import CHAIN, table
 from tessera.session import shared_folder
@@ -303,13 +304,13 @@ def format_error(spark, d):
     return _rows(spark, d).select("ep", F.round("format_error", 6).alias("format_error"))
 
 
-TOLL = "(0.25 * CASE WHEN n_citations > 0 THEN n_fabricated::DOUBLE / n_citations ELSE 0 END + 0.1 * format_error + 0.0 * n_steps)"
+TOLL = "(0.25 * n_fabricated + 0.1 * format_error)"
 
 
 def _reward(mode: str, core: str) -> None:
     def run(spark, d):
         rows = _rows(spark, d)
-        return rows.select("ep", F.round(E.reward(rows, mode), 6).alias("reward"))
+        return rows.select("ep", F.round(W.reward(rows, mode)[0], 6).alias("reward"))
 
     run.__name__ = f"reward_{mode}"
     query(f"SELECT ep, round({core} - {TOLL}, 6) AS reward FROM rows", chain=True)(run)
@@ -599,13 +600,6 @@ def stream_step_means(spark, d):
     return _drained(spark, d, S.step_means, "complete")
 
 
-@query("SELECT count(*)::BIGINT AS n FROM (SELECT DISTINCT event_id FROM events)")
-def stream_dedupe_resume(spark, d):
-    from tessera.streaming import episodes as S
-
-    return _drained(spark, d, lambda e: S.first_deliveries(e.unionByName(e), ["event_id"]), "append").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_type = 'purchase' AS buy, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 r AS (SELECT user_id, k, buy, 1 AS n FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.buy, CASE WHEN r.buy OR r.n >= 8 THEN 1 ELSE r.n + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
 SELECT user_id, n::INT AS n_turns, buy AS done FROM r WHERE buy OR n >= 8""")
@@ -615,14 +609,6 @@ def stream_episode_state(spark, d):
     return _drained(spark, d, S.episode_state, "append")
 
 
-@query("SELECT 7::BIGINT AS step, event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
-def stream_with_step(spark, d):
-    from tessera.streaming import episodes as S
-
-    steps = spark.range(8).withColumnRenamed("id", "step")
-    return _drained(spark, d, lambda e: S.with_step(e, steps), "append").groupBy("step", "event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT user_id, min(ts)::TIMESTAMP AS start, count(*)::BIGINT AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
 def stream_sessions(spark, d):
     from tessera.streaming import episodes as S

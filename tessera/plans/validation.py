@@ -255,12 +255,6 @@ def capped_by_finished(spark, d):
     return C.means_by(_rows(spark, d).withColumn("capped", F.col("n_tool_calls") >= 4), "capped", ["correct", "done"])
 
 
-@query(" SELECT t_end AS step, count(*)::BIGINT AS n, round(avg(outcome), 6) AS outcome, round(avg(f1), 6) AS f1, round(avg(format_error), 6) AS format_error, round(avg((n_citations > 0)::INT::DOUBLE), 6) AS cited FROM (SELECT *, ep % 10 AS t_end FROM rows) GROUP BY 1", chain=True)
-def reward_components_by_step(spark, d):
-    rows = _rows(spark, d).withColumns({"step": F.col("ep") % 10, "cited": F.col("n_citations") > 0})
-    return C.means_by(rows, "step", ["outcome", "f1", "format_error", "cited"])
-
-
 @query("WITH g AS (SELECT o_custkey AS grp, CASE WHEN o_totalprice > 150000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM orders), s AS (SELECT stddev_pop(reward) AS s FROM g GROUP BY grp) SELECT count(*)::BIGINT AS groups, count(*) FILTER (s = 0)::BIGINT AS flat, round(median(s), 6) AS median_std FROM s")
 def group_spread(spark, d):
     return C.group_spread(_groups(spark, d))

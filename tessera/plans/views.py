@@ -53,10 +53,10 @@ steps AS (SELECT ep, t, CASE WHEN hit THEN act END AS name, CASE WHEN hit THEN p
   CASE WHEN act = 'answer' AND hit THEN payload ELSE substring(obs, 1, 1200) END AS obs, CASE WHEN hit AND act <> 'answer' AND tool_ok THEN found ELSE []::VARCHAR[] END AS titles
   FROM q WHERE t <= t_end AND (t < 8 OR hit)),
 agg AS (SELECT ep, bool_or(coalesce(name = 'answer', false)) AS done, max(CASE WHEN name = 'answer' THEN payload END) AS final_answer, count(*)::INT AS n_steps, count(name)::INT AS n_tool_calls,
-  count(*) FILTER (name = 'search')::INT AS n_searches, count(*) FILTER (name = 'read')::INT AS n_reads, count(*) FILTER (NOT parse_ok OR error IS NOT NULL)::INT AS n_bad,
+  count(*) FILTER (name = 'search')::INT AS n_searches, count(*) FILTER (name = 'read')::INT AS n_reads, count(*) FILTER (NOT parse_ok OR error IS NOT NULL)::INT AS n_bad, count(*) FILTER (NOT parse_ok)::INT AS n_unparsed,
   list_distinct(flatten(list(titles))) AS retrieved, list_distinct(flatten(list(CASE WHEN name = 'read' AND ok THEN titles ELSE [] END))) AS rd FROM steps GROUP BY ep),
 eps AS (SELECT tasks.*, coalesce(done, false) AS done, final_answer, coalesce(n_steps, 0)::INT AS n_steps, coalesce(n_tool_calls, 0)::INT AS n_tool_calls, coalesce(n_searches, 0)::INT AS n_searches, coalesce(n_reads, 0)::INT AS n_reads,
-  coalesce(n_bad, 0)::INT AS n_bad, coalesce(retrieved, []) AS retrieved, coalesce(rd, []) AS rd FROM tasks LEFT JOIN agg USING (ep)),
+  coalesce(n_bad, 0)::INT AS n_bad, coalesce(n_unparsed, 0)::INT AS n_unparsed, coalesce(retrieved, []) AS retrieved, coalesce(rd, []) AS rd FROM tasks LEFT JOIN agg USING (ep)),
 sent AS (SELECT ep, unnest(string_split(regexp_replace(trim(coalesce(final_answer, '')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM eps),
 sc AS (SELECT ep, s, list_filter(regexp_extract_all(s, '\[([^\]]+?)\]', 1), lambda x: NOT regexp_matches(x, '^\d+$')) AS ts, trim(regexp_replace(s, '\[[^\]]+?\]', '', 'g')) AS body FROM sent),
 ct AS (SELECT ep, list_transform(flatten(list(ts)), lambda x: lower(trim(x))) AS cl, count(*) FILTER (body <> '' AND len(ts) = 0)::INT AS n_uncited FROM sc GROUP BY ep),
@@ -69,8 +69,8 @@ rep AS (SELECT *, CASE WHEN "precision" + recall > 0 THEN 2 * "precision" * reca
   CASE WHEN title_precision + title_recall > 0 THEN 2 * title_precision * title_recall / greatest(title_precision + title_recall, 1e-12) ELSE 0 END AS title_f1 FROM cp),
 norm AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(translate(lower(trim(regexp_replace(coalesce(final_answer, ''), '\[[^\]]+?\]', '', 'g'))), '.!,', ''), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ') AS pred,
   len(list_filter(regexp_split_to_array(translate(lower(coalesce(final_answer, '')), '.!,[]', ''), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')))::INT AS answer_words FROM rep),
-ro AS (SELECT *, done AND pred = answer AS correct FROM norm),
+ro AS (SELECT *, done AND pred = answer AS correct, CASE WHEN pred = '' THEN 0.0 ELSE 2.0::DOUBLE * len(list_filter(string_split(answer, ' '), lambda x: list_contains(string_split(pred, ' '), x))) / (len(string_split(pred, ' ')) + len(string_split(answer, ' '))) END AS answer_f1 FROM norm),
 rows AS (SELECT *, correct::INT::DOUBLE AS outcome, CASE WHEN NOT correct THEN 'wrong_answer' WHEN n_citations = 0 THEN 'uncited' WHEN f1 < 0.999 THEN 'miscited' ELSE 'correct_and_cited' END AS bucket, n_tool_calls >= 8 AS capped,
-  CASE WHEN n_steps = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, n_bad::DOUBLE / n_steps + CASE WHEN done THEN 0 ELSE 0.5 END) END AS format_error,
+  CASE WHEN n_steps = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, n_unparsed::DOUBLE / n_steps + CASE WHEN done THEN 0 ELSE 0.5 END) END AS format_error,
   CASE WHEN len(list_distinct(gold)) = 0 THEN 1.0 ELSE len(list_filter(list_distinct(gold), lambda x: list_contains(retrieved, x)))::DOUBLE / len(list_distinct(gold)) END AS hit_rate FROM ro)
 """

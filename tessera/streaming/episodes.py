@@ -49,11 +49,6 @@ def episode_state(events: DataFrame, cap: int = 8) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n_turns int, done boolean", "n int", "append", "NoTimeout")
 
 
-def with_step(events: DataFrame, steps: DataFrame) -> DataFrame:
-    """events with step, the largest of steps (column step, from 0 on) so far; one row is joined to the stream."""
-    return events.crossJoin(F.broadcast(steps.agg(F.coalesce(F.max("step"), F.lit(0)).alias("step"))))
-
-
 def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     """Run a stream over all that is there now into folder, and return its rows from there.
 

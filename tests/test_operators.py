@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import datasets as D
 from tessera.operators import episode as E
+from tessera.operators import rewards as W
 from tessera.operators import evaluation as V
 from tessera.operators import retrieval as R
 from tessera.plans import catalogue
@@ -75,7 +76,7 @@ def test_episode_cap_and_empty_answer(spark):
 
 def test_rewards_are_ordered(spark):
     rows = spark.createDataFrame([(1.0, 1.0, 2, 0, 0.0, 3), (1.0, 0.0, 0, 0, 0.0, 3), (0.0, 0.0, 0, 0, 0.0, 3)], "outcome double, f1 double, n_citations int, n_fabricated int, format_error double, n_steps int")
-    assert [r[0] for r in rows.select(E.reward(rows)).collect()] == [1.0, 0.5, 0.0]
+    assert [r[0] for r in rows.select(W.reward(rows)[0]).collect()] == [1.0, 0.5, 0.0]
 
 
 def test_aggregate_empty_and_missing(spark):
