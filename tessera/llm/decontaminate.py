@@ -33,6 +33,8 @@ MIN_MATCH, MIN_SHARE = 13, 0.6
 MISMATCH = 2
 #: Words of benchmark items indexed at a time, which bounds a block's index to about 60 MB.
 BLOCK_WORDS = 500_000
+#: Hits that are looked at together.
+HITS = 1 << 20
 CACHE = 600_000
 
 #: Typographic apostrophes count as ASCII ones. Fixed values.
@@ -93,15 +95,21 @@ class Index:
             tables.append((mask, keys[order], item[order], offset[order], present))
         return cls(ids, items, tables)
 
-    def hits(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(position in words, item, offset in item) of equal seeds."""
+    def hits(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions in words, items and offsets in them of equal seeds, at most about HITS at a time."""
         for mask, keys, item, offset, present in self.tables:
             made = seeds(words, mask)
             at = np.flatnonzero(present[made & np.uint64(len(present) - 1)])
             low, high = np.searchsorted(keys, made[at]), np.searchsorted(keys, made[at], side="right")
-            for q, a, b in zip(at[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
-                for k in range(a, b):
-                    yield q, int(item[k]), int(offset[k])
+            at, low, n = at[low < high], low[low < high], (high - low)[low < high]
+            upto = np.cumsum(n)
+            done = 0
+            while done < len(at):
+                stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + HITS, side="right")))
+                row = np.repeat(np.arange(done, stop), n[done:stop])
+                k = low[row] + np.arange(len(row)) - np.repeat(upto[done:stop] - n[done:stop] - (upto[done - 1] if done else 0), n[done:stop])
+                yield at[row], item[k], offset[k]
+                done = stop
 
 
 def overlap(item: np.ndarray, words: np.ndarray, shift: int) -> tuple[int, int, int]:
@@ -109,30 +117,31 @@ def overlap(item: np.ndarray, words: np.ndarray, shift: int) -> tuple[int, int,
     place in item and the one behind the last."""
     a, b = max(0, -shift), min(len(item), len(words) - shift)
     same = item[a:b] == words[a + shift : b + shift]
-    best = matched = run = run_matched = first = 0
-    found = (a, a)
-    for k, x in enumerate(same.tolist(), a):
-        if run == 0:
-            first = k
-        run, run_matched = (run + 1, run_matched + 1) if x else (run - MISMATCH, run_matched)
-        if run <= 0:
-            run = run_matched = 0
-        elif run > best:
-            best, matched, found = run, run_matched, (first, k + 1)
-    return matched, *found
+    sums = np.r_[0, np.cumsum(np.where(same, 1, -MISMATCH))]
+    run = sums - np.minimum.accumulate(sums)
+    last = int(run.argmax())
+    if not run[last]:
+        return 0, a, a
+    first = int(np.flatnonzero(run[:last] == 0)[-1])
+    return int(same[first:last].sum()), a + first, a + last
 
 
 def chained(parts: list[tuple[int, int, int, int]]) -> int:
-    """Most matching words of stretches (matched, first, end, shift) of one item that follow each other in item and
-    text, neighbours at most MAX_SHIFT apart in shift; where two overlap, the later one's lost words don't count."""
+    """Most matching words of stretches (matched, first, end, shift) of one item, one a shift, that follow each other in
+    item and text, neighbours at most MAX_SHIFT apart in shift; where two overlap, the later one's lost words don't
+    count. A stretch has few neighbours, so this takes time in proportion to their number."""
     best: list[int] = []
     parts = sorted(parts, key=lambda p: (p[1], p[2], p[3]))
+    at = {p[3]: k for k, p in enumerate(parts)}
     for k, (matched, first, end, shift) in enumerate(parts):
         top = matched
-        for j in range(k):
-            _, f, e, s = parts[j]
+        for s in range(shift - MAX_SHIFT, shift + MAX_SHIFT + 1):
+            j = at.get(s, k)
+            if j >= k:
+                continue
+            _, f, e, _ = parts[j]
             lost = max(0, e - first, e + s - first - shift)
-            if f < first and e < end and f + s < first + shift and e + s < end + shift and abs(s - shift) <= MAX_SHIFT and lost < matched:
+            if f < first and e < end and f + s < first + shift and e + s < end + shift and lost < matched:
                 top = max(top, best[j] + matched - lost)
         best.append(top)
     return max(best, default=0)
@@ -143,21 +152,27 @@ def leaks_of(index: Index, hashed: list[np.ndarray]) -> list[dict[int, int]]:
     sizes = np.array([len(h) for h in hashed], np.int64)
     ends = np.cumsum(sizes)
     flat = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
-    parts: dict[tuple[int, int], dict[int, tuple[int, int, int, int]]] = {}
+    # a text's diagonals with an item, each once: number of the pair and shift as one number
+    longest = max((len(w) for w in index.items), default=0)
+    span = len(flat) + longest + 1
+    diagonals = np.zeros(0, np.int64)
     for q, item, offset in index.hits(flat):
-        doc = int(np.searchsorted(ends, q, side="right"))
-        begin = int(ends[doc] - sizes[doc])
-        shift = q - begin - offset
-        seen = parts.setdefault((doc, item), {})
-        if shift not in seen:
-            seen[shift] = (*overlap(index.items[item], hashed[doc], shift), shift)
+        doc = np.searchsorted(ends, q, side="right")
+        shift = q - (ends - sizes)[doc] - offset
+        diagonals = np.union1d(diagonals, (doc * len(index.items) + item) * span + shift + longest)
+    pair, shift = np.divmod(diagonals, span)
+    shift -= longest
     found: list[dict[int, int]] = [{} for _ in hashed]
-    for (doc, item), seen in parts.items():
-        n = len(index.items[item])
+    edges = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1], True]) if len(pair) else [0]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        doc, item = divmod(int(pair[low]), len(index.items))
+        words = index.items[item]
+        n = len(words)
+        parts = [(*overlap(words, hashed[doc], s), s) for s in shift[low:high].tolist()]
         need = n if n < MIN_ITEM else min(MIN_MATCH, MIN_SHARE * n)
-        matched = max(p[0] for p in seen.values())
-        if matched < need and n >= MIN_ITEM and len(seen) > 1:
-            matched = chained(list(seen.values()))
+        matched = max(p[0] for p in parts)
+        if matched < need and n >= MIN_ITEM and len(parts) > 1:
+            matched = chained(parts)
         if matched >= need:
             found[doc][item] = matched
     return found

@@ -98,8 +98,11 @@ def mix(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
 
     A document that is taken f times and a part keeps f whole rows and one row with its first words, joined by
     single blanks; there is at most one such document in a source. Rows that share a doc_id share a plan row by size.
-    Documents without words (size 0) add nothing to a mix of words and are left out.
+    Documents without words (size 0), null texts among them, add nothing to a mix of words and are left out. All columns
+    pass through, whatever their names. An empty table gives no rows.
     """
+    names = docs.columns
+    docs = docs.toDF(*[c if c in ("doc_id", "text", "source") else f"c{i}" for i, c in enumerate(names)])
     plan = plan_mix(docs.select("doc_id", "text", "source"), seed, **options)
     plan = plan.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("taken")).alias(f"{OWN}taken"))
     plan = plan.select(F.col("doc_id").alias(f"{OWN}id"), F.col("source").alias(f"{OWN}source"), F.col("size").alias(f"{OWN}size"), f"{OWN}taken").filter(F.col(f"{OWN}size") > 0)
@@ -113,7 +116,7 @@ def mix(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     whole = F.array_repeat(F.lit(False), F.expr(f"{OWN}t div {OWN}n").cast("int"))
     rows = rows.withColumn(f"{OWN}part", F.explode(F.concat(whole, F.when(part > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))))
     text = F.when(F.col(f"{OWN}part"), cut).otherwise(F.col("text"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return rows.select(*[(text if c == "text" else F.col(c)).alias(name) for c, name in zip(docs.columns, names, strict=True)])
 
 
 ORACLE = f"""
