@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.selection import index_quantile
+
 
 def mean(c: str, name: str | None = None) -> Column:
     return F.round(F.avg(F.col(c).cast("double")), 6).alias(name or c)
@@ -69,15 +71,6 @@ def gate(base: DataFrame, tuned: DataFrame, margin: float = 0.05) -> DataFrame:
     return p.withColumn("all", F.concat(own, "probes")).select((F.size("all") == 0).alias("passed"), F.array_join("all", "; ").alias("reasons"))
 
 
-def index_quantile(rows: DataFrame, value: str, qs: list[float]) -> DataFrame:
-    """Quantiles by index, sorted[int(n * q)]: q, value. Ranks come from one ordered window over the values' counts."""
-    counts = rows.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("m"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    up = counts.withColumn("upto", F.sum("m").over(w)).withColumn("n", F.sum("m").over(Window.partitionBy()))
-    wanted = F.explode(F.array(*[F.lit(q) for q in qs]))
-    return up.withColumn("q", wanted).filter(F.col("upto") > F.floor(F.col("n") * F.col("q"))).groupBy("q").agg(F.min("v").alias("value"))
-
-
 def bootstrap(pairs: DataFrame, draws: int = 200, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Mean difference of pairs (i from 0 on, d) and the interval of its resampled means, by an arithmetic generator."""
     n = pairs.count()

@@ -11,6 +11,10 @@ from tessera.functions.text import snippet
 from tessera.operators.retrieval import last_of_title, read_by_title, search
 
 
+#: What an argument without a value reads as. Fixed value.
+NOTHING = "None"
+
+
 @dataclass(frozen=True)
 class Tool:
     name: str
@@ -54,9 +58,11 @@ def execute(calls: DataFrame, passages: DataFrame, k: int = 3) -> DataFrame:
 
     Returns id, name, ok, error (unknown_tool, missing_arg, unexpected_arg, tool_error, internal_error or null), obs and
     titles. A call never fails the job. search and read are joins with the passages of their task; a search's k must be
-    a number. Null names and args are empty.
+    a number. Null names and args are empty; an argument that is there without a value is the text NOTHING, so a k without
+    one is no number.
     """
-    c = calls.select("id", "task_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("args", F.create_map().cast("map<string,string>")).alias("args"))
+    given = F.transform_values(F.coalesce("args", F.create_map().cast("map<string,string>")), lambda _, v: F.coalesce(v, F.lit(NOTHING)))
+    c = calls.select("id", "task_id", F.coalesce("name", F.lit("")).alias("name"), given.alias("args"))
     c = c.withColumn("bad", _problem(F.col("name"), F.col("args")))
     docs = last_of_title(passages.select("task_id", "pos", "title", "text"))
     good = c.filter("bad is null")
