@@ -25,8 +25,10 @@ from tessera.llm.vectors import lists, matrix, whole_vectors
 
 #: Positives of an anchor; negatives of an anchor and a positive; hundredths of the positive's score that they reach.
 POSITIVES, NEGATIVES, PERCENT = 5, 5, 80
-#: Anchors in a block, rows of a shard that are held at a time, rows that a task reads at most if there are more tasks.
+#: Anchors in a block, rows of a shard that are read at a time, rows that a task reads at most if there are more tasks.
 BLOCK, CHUNK, RUN = 1024, 4096, 1 << 24
+#: Pairs of an anchor and a row that are held at a time, as each may have to be scored exactly.
+PAIRS = 1 << 16
 #: Rows a shard has, and fewer where there are not enough shards for all tasks.
 SHARD = 1 << 17
 #: Shares of the components after which pairs are dropped.
@@ -140,16 +142,17 @@ def _search(held, d: int, runs: int, size: int, percent: int | None):
             # the least whole number that is at least percent hundredths; a slot without a positive takes nothing
             low = np.where(high == LEAST, GREATEST, -((-percent * np.maximum(high, LEAST // 200)) // 100))
         slots = low.shape[1]
-        best = Best(len(ids) * slots, size)
+        best, few = Best(len(ids) * slots, size), max(1, PAIRS // len(ids))
         for uri in uris[own.column("run")[0].as_py() :: runs]:
             with _open(uri) as f:
-                for rows in pq.ParquetFile(f).iter_batches(CHUNK, columns=["vec_id", "label", "whole"]):
-                    other, b = rows.column(0).to_numpy(), Rotated(matrix(rows.column(2), d).astype(np.int64), turn)
-                    same = labels[:, None] == rows.column(1).to_numpy()[None, :]
-                    allowed = same & (ids[:, None] != other[None, :]) if percent is None else ~same
-                    left, right, score = pairs_reaching(a, b, np.maximum(low, best.need().reshape(-1, slots)).min(1), allowed)
-                    i, k = np.nonzero((score[:, None] >= low[left]) & (score[:, None] <= high[left]))
-                    best.add(left[i] * slots + k, score[i], other[right[i]])
+                for batch in pq.ParquetFile(f).iter_batches(CHUNK, columns=["vec_id", "label", "whole"]):
+                    for rows in (batch.slice(at, few) for at in range(0, batch.num_rows, few)):
+                        other, b = rows.column(0).to_numpy(), Rotated(matrix(rows.column(2), d).astype(np.int64), turn)
+                        same = labels[:, None] == rows.column(1).to_numpy()[None, :]
+                        allowed = same & (ids[:, None] != other[None, :]) if percent is None else ~same
+                        left, right, score = pairs_reaching(a, b, np.maximum(low, best.need().reshape(-1, slots)).min(1), allowed)
+                        i, k = np.nonzero((score[:, None] >= low[left]) & (score[:, None] <= high[left]))
+                        best.add(left[i] * slots + k, score[i], other[right[i]])
         at, k = np.divmod(best.slot, slots)
         return pa.table({"anchor_id": ids[at], "slot": k.astype(np.int32), "found_id": best.id, "score": best.score})
 
