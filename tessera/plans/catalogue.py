@@ -11,6 +11,9 @@ from tessera.functions import text as X
 from tessera.operators import datasets as D
 from tessera.operators import episode as E
 from tessera.operators import evaluation as V
+from tessera.operators import containment as C
+from tessera.operators import overlap as O
+from tessera.operators import ranking as K
 from tessera.operators import retrieval as R
 from tessera.operators import rewards as W
 from tessera.plans import views
@@ -38,13 +41,9 @@ def _corpus(spark, d):
     return table(spark, d, "documents").selectExpr("0 AS task_id", "doc_id AS pos", "concat('doc ', doc_id) AS title", "text")
 
 
-def _questions(spark, d):
-    return table(spark, d, "benchmark").selectExpr("item_id AS qid", "0 AS task_id", "array_join(slice(split(text, '[ \\n]+'), 1, 8), ' ') AS query")
-
-
 def _items(spark, d):
-    """Whole benchmark texts as questions. Queries over them have no SQL: the SQL of the others asks for first words only."""
-    return table(spark, d, "benchmark").selectExpr("item_id AS qid", "0 AS task_id", "text AS query")
+    """Benchmark texts as questions."""
+    return table(spark, d, "benchmark").selectExpr("item_id AS qid", "text AS query")
 
 
 def _steps(spark, d):
@@ -66,7 +65,7 @@ st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM docs),
 tok AS (SELECT title, len(toks) AS dl, unnest(toks) AS token FROM docs),
 post AS (SELECT title, dl, token, count(*) AS tf FROM tok GROUP BY ALL),
 df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
-qt AS (SELECT item_id AS qid, unnest(regexp_extract_all(lower(array_to_string(regexp_split_to_array(text, '[ \n]+')[1:8], ' ')), '[a-z0-9]+')) AS token FROM benchmark),
+qt AS (SELECT item_id AS qid, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS token FROM benchmark),
 qq AS (SELECT qid, token, count(*) AS qtf FROM qt GROUP BY ALL),
 sc AS (SELECT qid, title, round(sum(qtf * greatest(0, ln((n - df + 0.5) / (df + 0.5) + 1)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM qq JOIN df USING (token) JOIN post USING (token), st GROUP BY ALL),
@@ -79,12 +78,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, title
 
 @query(BM25 + "SELECT qid, title, score, rank::INT AS rank FROM top")
 def bm25_topk(spark, d):
-    return R.search(_questions(spark, d), _corpus(spark, d)).select("qid", "title", "score", "rank")
-
-
-@query()
-def bm25_topk_whole(spark, d):
-    return R.search(_items(spark, d), _corpus(spark, d)).select("qid", "title", "score", "rank")
+    return K.search_corpus(_items(spark, d), _corpus(spark, d)).select("qid", "title", "score", "rank")
 
 
 @query(BM25 + "SELECT count(*)::BIGINT AS n_postings, sum(tf)::BIGINT AS n_tokens, (SELECT n FROM st)::BIGINT AS n_docs, (SELECT round(avgdl, 6) FROM st) AS avgdl FROM post")
@@ -93,23 +87,13 @@ def bm25_index_stats(spark, d):
     return postings.agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens")).crossJoin(stats.select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl")))
 
 
-@query(BM25 + """, gold AS (SELECT item_id AS qid, 'doc ' || doc_id AS title FROM benchmark b JOIN documents t ON contains(t.text, substring(b.text, 1, 60))),
+@query(BM25 + """, gold AS (SELECT item_id AS qid, 'doc ' || doc_id AS title FROM benchmark b JOIN documents t ON contains(t.text, b.text)),
 g AS (SELECT qid, count(*) AS n_gold, count(top.title) AS n_hit FROM gold LEFT JOIN top USING (qid, title) GROUP BY qid)
 SELECT item_id AS qid, coalesce(n_gold, 0)::BIGINT AS n_gold, CASE WHEN n_gold > 0 THEN round(n_hit::DOUBLE / n_gold, 6) ELSE 1.0 END AS hit_rate FROM benchmark LEFT JOIN g ON qid = item_id""")
 def bm25_hit_rate(spark, d):
-    return _hit_rate(spark, d, _questions(spark, d), "substring(text, 1, 60)")
-
-
-@query()
-def bm25_hit_rate_whole(spark, d):
-    return _hit_rate(spark, d, _items(spark, d), "text")
-
-
-def _hit_rate(spark, d, questions, key):
     b = table(spark, d, "benchmark")
-    # the benchmark is the small, fixed side of this containment join
-    gold = table(spark, d, "documents").join(b.selectExpr("item_id AS qid", f"{key} AS held"), F.expr("contains(text, held)")).selectExpr("qid", "concat('doc ', doc_id) AS title")
-    top = R.search(questions, _corpus(spark, d)).select("qid", "title", F.lit(1).alias("hit"))
+    gold = C.containing(table(spark, d, "documents").selectExpr("concat('doc ', doc_id) AS title", "text"), b.selectExpr("item_id AS qid", "text AS held"))
+    top = K.search_corpus(_items(spark, d), _corpus(spark, d)).select("qid", "title", F.lit(1).alias("hit"))
     g = gold.join(top, ["qid", "title"], "left").groupBy("qid").agg(F.count(F.lit(1)).alias("n_gold"), F.count("hit").alias("n_hit"))
     return b.selectExpr("item_id AS qid").join(g, "qid", "left").select("qid", F.coalesce("n_gold", F.lit(0)).cast("long").alias("n_gold"), F.when(F.col("n_gold") > 0, F.round(F.col("n_hit") / F.col("n_gold"), 6)).otherwise(1.0).alias("hit_rate"))
 
@@ -145,90 +129,76 @@ def snippet_projection(spark, d):
     return table(spark, d, "documents").select("doc_id", X.snippet(F.col("text")).alias("snippet"))
 
 
-@query(r"SELECT qid, 'search results:' || chr(10) || string_agg('[' || rank || '] ' || top.title, chr(10) ORDER BY rank) AS obs FROM top GROUP BY qid".join([BM25, ""]))
+@query(BM25 + "SELECT qid, 'search results:' || chr(10) || string_agg('[' || rank || '] ' || top.title, chr(10) ORDER BY rank) AS obs FROM top GROUP BY qid")
 def search_observation_text(spark, d):
-    return _observations(R.search(_questions(spark, d), _corpus(spark, d)))
-
-
-@query()
-def search_observation_text_whole(spark, d):
-    return _observations(R.search(_items(spark, d), _corpus(spark, d)))
-
-
-def _observations(found):
-    top = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("x"))
+    top = K.search_corpus(_items(spark, d), _corpus(spark, d)).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("x"))
     return top.select("qid", F.concat(F.lit("search results:\n"), F.array_join(F.transform("x", lambda r: F.concat(F.lit("["), r["rank"].cast("string"), F.lit("] "), r["title"])), "\n")).alias("obs"))
 
 
 # ---- text
 
 NORM = r"""list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({0}, '')), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the'))"""
-PAIRS = "SELECT item_id, substring(b.text, 1, 120) AS pred, substring(t.text, 1, 160) AS gold FROM benchmark b JOIN documents t ON t.doc_id = b.item_id * 3"
+#: Every document with the benchmark text that BM25 ranks first for it, both whole; pred is null where no token is shared.
+BEST = r"""
+WITH items AS (SELECT item_id, 'item ' || item_id AS title, regexp_extract_all(lower('item ' || item_id || ' ' || coalesce(text, '')), '[a-z0-9]+') AS toks FROM benchmark),
+st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM items),
+tok AS (SELECT item_id, title, len(toks) AS dl, unnest(toks) AS token FROM items),
+post AS (SELECT item_id, title, dl, token, count(*) AS tf FROM tok GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
+qq AS (SELECT doc_id, token, count(*) AS qtf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS token FROM documents) GROUP BY ALL),
+sc AS (SELECT doc_id, item_id, title, round(sum(qtf * greatest(0, ln((n - df + 0.5) / (df + 0.5) + 1)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM qq JOIN df USING (token) JOIN post USING (token), st GROUP BY ALL),
+best AS (SELECT * FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, title) = 1),
+pairs AS (SELECT d.doc_id, best.item_id, b.text AS pred, d.text AS gold FROM documents d LEFT JOIN best USING (doc_id) LEFT JOIN benchmark b ON b.item_id = best.item_id)
+"""
 
 
 def _pairs(spark, d):
-    b = table(spark, d, "benchmark").selectExpr("item_id", "item_id * 3 AS doc_id", "substring(text, 1, 120) AS pred")
-    return b.join(table(spark, d, "documents").selectExpr("doc_id", "substring(text, 1, 160) AS gold"), "doc_id").select("item_id", "pred", "gold")
-
-
-def _whole_pairs(spark, d):
-    """Every document with its best benchmark text, both whole; pred is null where no item shares a word."""
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("gold"))
-    items = table(spark, d, "benchmark").selectExpr("item_id", "0 AS task_id", "item_id AS pos", "concat('item ', item_id) AS title", "text")
-    best = R.search(docs.selectExpr("doc_id AS qid", "0 AS task_id", "gold AS query"), items, k=1).select(F.col("qid").alias("doc_id"), "title")
+    items = table(spark, d, "benchmark").selectExpr("item_id", "concat('item ', item_id) AS title", "text")
+    best = K.best_passage(docs.selectExpr("doc_id AS qid", "gold AS query"), items).select(F.col("qid").alias("doc_id"), "title")
     return docs.join(best, "doc_id", "left").join(items.select("item_id", "title", F.col("text").alias("pred")), "title", "left").select("doc_id", "item_id", "pred", "gold")
 
 
-@query()
-def exact_match_whole(spark, d):
-    return _whole_pairs(spark, d).select("doc_id", "item_id", X.exact_match(F.col("pred"), F.array(F.coalesce("gold", F.lit("")))).alias("em"))
-
-
-@query()
-def token_f1_whole(spark, d):
-    return _whole_pairs(spark, d).select("doc_id", "item_id", F.round(X.token_f1(F.col("pred"), F.array(F.coalesce("gold", F.lit("")))), 6).alias("f1"))
-
-
-@query()
-def answer_recall_whole(spark, d):
-    return _whole_pairs(spark, d).select("doc_id", "item_id", F.round(X.answer_recall(F.col("pred"), F.col("gold")), 6).alias("recall"))
-
-
-@query()
-def citation_alignment_overlap_whole(spark, d):
-    return _whole_pairs(spark, d).select("doc_id", "item_id", F.round(X.align_overlap(F.col("pred"), F.col("gold")), 6).alias("score"))
+def _over(spark, d, tokens, measure, name):
+    """A measure of the tokens that a document and its best benchmark text share."""
+    p = _pairs(spark, d).select("doc_id", "item_id", tokens(F.col("pred")).alias("a"), tokens(F.coalesce("gold", F.lit(""))).alias("b"))
+    over = O.overlaps(p, "doc_id")
+    return p.select("doc_id", "item_id").join(over, "doc_id").select("doc_id", "item_id", F.round(measure(over), 6).alias(name))
 
 
-@query(f"SELECT doc_id, array_to_string({NORM.format('text')}, ' ') AS norm FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, array_to_string({NORM.format('text')}, ' ') AS norm FROM documents")
 def normalize_answer(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", X.normalize_answer(F.col("text")).alias("norm"))
-
-
-@query()
-def normalize_answer_whole(spark, d):
     return table(spark, d, "documents").select("doc_id", X.normalize_answer(F.col("text")).alias("norm"))
 
 
-@query(f"WITH p AS ({PAIRS}) SELECT item_id, {NORM.format('pred')} = {NORM.format('gold')} AS em, {NORM.format('pred')} = {NORM.format("('The ' || pred)")} AS em_self FROM p")
+@query(BEST + f"SELECT doc_id, item_id, {NORM.format('pred')} = {NORM.format('gold')} AS em, {NORM.format('gold')} = {NORM.format("('The ' || coalesce(gold, ''))")} AS em_self FROM pairs")
 def exact_match(spark, d):
-    return _pairs(spark, d).select("item_id", X.exact_match(F.col("pred"), F.array("gold")).alias("em"), X.exact_match(F.col("pred"), F.array(F.concat(F.lit("The "), "pred"))).alias("em_self"))
+    gold = F.coalesce("gold", F.lit(""))
+    return _pairs(spark, d).select("doc_id", "item_id", X.exact_match(F.col("pred"), F.array(gold)).alias("em"), X.exact_match(gold, F.array(F.concat(F.lit("The "), gold))).alias("em_self"))
+
+
+#: Of a pair: lengths, and counts of each token on either side.
+_COUNTED = """, w AS (SELECT doc_id, item_id, {a} AS a, {b} AS b FROM pairs),
+c AS (SELECT doc_id, t, sum(x) AS x, sum(y) AS y FROM (SELECT doc_id, unnest(a) AS t, 1 AS x, 0 AS y FROM w UNION ALL SELECT doc_id, unnest(b), 0, 1 FROM w) GROUP BY ALL),
+o AS (SELECT doc_id, sum(least(x, y)) AS same, sum(CASE WHEN y > 0 THEN x ELSE 0 END) AS in_b FROM c GROUP BY doc_id)
+"""
+_NORMAL = _COUNTED.format(a=NORM.format("pred"), b=NORM.format("gold"))
 
 
-@query(f"""WITH p AS (SELECT item_id, {NORM.format('pred')} AS a, {NORM.format('gold')} AS b FROM ({PAIRS})),
-s AS (SELECT *, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS same FROM p)
-SELECT item_id, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1 WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE 2 * same::DOUBLE / (len(a) + len(b)) END, 6)::DOUBLE AS f1 FROM s""")
+@query(BEST + _NORMAL + "SELECT doc_id, item_id, round(CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE 2 * coalesce(same, 0)::DOUBLE / (len(a) + len(b)) END, 6)::DOUBLE AS f1 FROM w LEFT JOIN o USING (doc_id)")
 def token_f1(spark, d):
-    return _pairs(spark, d).select("item_id", F.round(X.token_f1(F.col("pred"), F.array("gold")), 6).alias("f1"))
+    return _over(spark, d, X.answer_tokens, O.f1, "f1")
 
 
-@query(f"WITH p AS (SELECT item_id, {NORM.format('pred')} AS a, {NORM.format('gold')} AS b FROM ({PAIRS})) SELECT item_id, round(len(list_filter(a, lambda x: list_contains(b, x)))::DOUBLE / greatest(len(a), 1), 6) AS recall FROM p")
+@query(BEST + _NORMAL + "SELECT doc_id, item_id, round(coalesce(in_b, 0)::DOUBLE / greatest(len(a), 1), 6) AS recall FROM w LEFT JOIN o USING (doc_id)")
 def answer_recall(spark, d):
-    return _pairs(spark, d).select("item_id", F.round(X.answer_recall(F.col("pred"), F.col("gold")), 6).alias("recall"))
+    return _over(spark, d, X.answer_tokens, O.recall, "recall")
 
 
-@query("SELECT item_id, round(len(list_filter(a, lambda x: list_contains(b, x)))::DOUBLE / greatest(len(a), 1), 6) AS score FROM (SELECT item_id, regexp_extract_all(lower(pred), '[a-z0-9]+') AS a, regexp_extract_all(lower(gold), '[a-z0-9]+') AS b FROM (" + PAIRS + "))")
+@query(BEST + _COUNTED.format(a="regexp_extract_all(lower(coalesce(pred, '')), '[a-z0-9]+')", b="regexp_extract_all(lower(coalesce(gold, '')), '[a-z0-9]+')") + "SELECT doc_id, item_id, round(coalesce(in_b, 0)::DOUBLE / greatest(len(a), 1), 6) AS score FROM w LEFT JOIN o USING (doc_id)")
 def citation_alignment_overlap(spark, d):
-    return _pairs(spark, d).select("item_id", F.round(X.align_overlap(F.col("pred"), F.col("gold")), 6).alias("score"))
+    return _over(spark, d, X.bm25_tokens, O.recall, "score")
 
 
 @query("SELECT ep, t, name, payload, parse_ok FROM (SELECT ep, t, CASE WHEN hit THEN act END AS name, CASE WHEN hit THEN payload END AS payload, hit AS parse_ok FROM p)", chain=True)

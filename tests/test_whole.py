@@ -53,16 +53,16 @@ def test_search_takes_whole_items(spark, whole_dir, sf_dir, small):
     d = whole_dir if small else sf_dir
     items, docs = tables(spark, d)
     want = bm25(items, [(f"doc {i}", t) for i, t in docs], 3)
-    got = {(r.qid, r["rank"]): (r.title, r.score) for r in QUERIES["bm25_topk_whole"](spark, d).collect()}
+    got = {(r.qid, r["rank"]): (r.title, r.score) for r in QUERIES["bm25_topk"](spark, d).collect()}
     assert {k: t for k, (t, _) in got.items()} == {(q, k + 1): t for q, ts in want.items() for k, (t, _) in enumerate(ts)}
     assert all(s == pytest.approx(want[q][k - 1][1], abs=2e-6) for (q, k), (_, s) in got.items())
-    obs = {r.qid: r.obs for r in QUERIES["search_observation_text_whole"](spark, d).collect()}
+    obs = {r.qid: r.obs for r in QUERIES["search_observation_text"](spark, d).collect()}
     assert obs == {q: "\n".join(["search results:", *(f"[{k + 1}] {t}" for k, (t, _) in enumerate(ts))]) for q, ts in want.items() if ts}
     rate = {}
     for q, x in items:
         gold = [f"doc {i}" for i, t in docs if x is not None and t is not None and x in t]
         rate[q] = (len(gold), round(sum(t in gold for t, _ in want[q]) / len(gold), 6) if gold else 1.0)
-    assert {r.qid: (r.n_gold, r.hit_rate) for r in QUERIES["bm25_hit_rate_whole"](spark, d).collect()} == rate
+    assert {r.qid: (r.n_gold, r.hit_rate) for r in QUERIES["bm25_hit_rate"](spark, d).collect()} == rate
     if small:
         assert rate[0][0] == 1  # documents 0 and 3 hold the head alone
 
@@ -90,12 +90,64 @@ def test_scores_take_whole_texts_of_every_document(spark, whole_dir, sf_dir, sma
     pred = {**dict(items), None: None}
     words = {"em": lambda p, g: norm(p) == norm(g), "f1": lambda p, g: f1(norm(p).split(), norm(g).split()), "recall": lambda p, g: share(norm(p).split(), norm(g).split()), "score": lambda p, g: share(tokens(p), tokens(g))}
     for name, (col, of) in zip(("exact_match", "token_f1", "answer_recall", "citation_alignment_overlap"), words.items()):
-        got = {r.doc_id: (r.item_id, r[col]) for r in QUERIES[f"{name}_whole"](spark, d).collect()}
+        got = {r.doc_id: (r.item_id, r[col]) for r in QUERIES[f"{name}"](spark, d).collect()}
         assert got == {i: (k, pytest.approx(of(pred[k], t), abs=2e-6)) for i, k, t in pairs}, name
 
 
 @pytest.mark.parametrize("small", [True, False])
 def test_answers_of_every_language_are_normalized(spark, whole_dir, sf_dir, small):
     d = whole_dir if small else sf_dir
-    got = {r.doc_id: r.norm for r in QUERIES["normalize_answer_whole"](spark, d).collect()}
+    got = {r.doc_id: r.norm for r in QUERIES["normalize_answer"](spark, d).collect()}
     assert got == {i: norm(t) for i, t in tables(spark, d)[1]}
+
+
+def corpus(seed=1, n=300):
+    """Passages of common and rare words, some equal, and questions of many lengths."""
+    import random
+
+    rng = random.Random(seed)
+    common, rare = ["the", "of", "and", "it"], [f"w{i}" for i in range(200)]
+    text = lambda k: " ".join(rng.choice(common) if rng.random() < 0.6 else rng.choice(rare) for _ in range(k))
+    passages = [(f"p{i:03d}", text(rng.randrange(1, 60))) for i in range(n)]
+    passages += [("same b", passages[0][1]), ("same a", passages[0][1]), ("empty", ""), ("null", None), ("pé", "w1 w1 w1")]
+    questions = [(i, text(rng.randrange(1, 40))) for i in range(25)] + [(90, "the the of"), (91, None), (92, "nothing here"), (93, passages[0][1])]
+    return passages, questions
+
+
+@pytest.mark.parametrize("block,products", [(200_000, 1 << 20), (30, 50)])
+def test_ranking_drops_nothing(spark, monkeypatch, block, products):
+    from tessera.operators import ranking as K
+
+    monkeypatch.setattr(K, "PRODUCTS", products)
+    passages, questions = corpus()
+    p, q = spark.createDataFrame(passages, "title string, text string").repartition(3), spark.createDataFrame([*questions, (None, "w1")], "qid int, query string")
+    want = bm25(questions, passages, 4)
+    got = {}
+    for r in K.search_corpus(q, p.unionByName(spark.createDataFrame([(None, "w1")], p.schema)), 4, block=block).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["title"], r["score"]))
+    assert {k: [t for t, _ in v] for k, v in got.items()} == {k: [t for t, _ in v] for k, v in want.items() if v}
+    assert all(s == pytest.approx(x, abs=2e-6) for k in got for (_, s), (_, x) in zip(got[k], want[k]))
+    best = {r["qid"]: r["title"] for r in K.best_passage(q, p, block=block).collect()}
+    assert best == {k: v[0][0] for k, v in want.items() if v}
+    assert K.search_corpus(q.limit(0), p).count() == K.search_corpus(q, p.limit(0)).count() == K.best_passage(q, p.limit(0)).count() == 0
+
+
+def test_ranking_leaves_common_tokens_out(spark):
+    import numpy as np
+
+    from tessera.operators import ranking as K
+
+    block = K.Block.build([("q", {"the": 0.1, "w1": 3.0, "w2": 2.0})])
+    keep, rest = block.essential(np.array([2.0]), 2.5)
+    assert {t for t, n in block.numbers.items() if keep[block.begin[n]]} == {"w1", "w2"} and rest[0] == pytest.approx(0.25)
+    value = lambda tf, row: tf
+    assert [x.tolist() for x in block.scores([["the", "of"], ["w1", "the"]], value, np.array([2.0]), 2.5)] == [[1], [0], [3.1]]
+
+
+def test_held_texts(spark):
+    from tessera.operators.containment import containing
+
+    texts = [("a", "xx one two three yy"), ("b", "one two threefold"), ("c", "one  two three"), ("d", None), ("e", "!!"), ("f", "none two t")]
+    held = [(1, "one two three"), (2, "ne two t"), (3, "!"), (4, None), (5, ""), (6, "one"), (7, "zz one two qq"), (1, "one two three")]
+    got = sorted(map(tuple, containing(spark.createDataFrame(texts, "title string, text string"), spark.createDataFrame(held, "qid int, held string")).select("qid", "title").collect()))
+    assert got == sorted((q, t) for q, h in held if h is not None for t, x in texts if x is not None and h in x)
