@@ -107,6 +107,11 @@ def sft_gate() -> Column:
     })
 
 
+def beats_prompting(tuned: str = "t", prompted: str = "e", measures: tuple[str, ...] = ("read_before_cite", "correct")) -> Column:
+    """Measures in which a tuned arm is above the base arm with a worked example in its prompt; for information, no gate."""
+    return _named({m: F.round(F.col(f"{tuned}_{m}") - F.col(f"{prompted}_{m}"), 6) > 0 for m in measures})
+
+
 def rl_gate() -> Column:
     """Checks that a reinforced arm fails against the fine-tuned one."""
     return _named({
@@ -244,3 +249,9 @@ def require_trainable(split: str, held_out: tuple[str, ...] = ("dev", "test")) -
     """Refuse to train, or to stop early, on a held-out split."""
     if split in held_out:
         raise ValueError(f"{split} is held out")
+
+
+def arm_means(rows: DataFrame, key: str, arms: dict[str, str], measures: list[str]) -> DataFrame:
+    """A row per value of key with every arm's rounded means, prefix_measure; arms are prefix to arm, absent ones null."""
+    of = [F.round(F.avg(F.when(F.col("arm") == arm, F.col(m).cast("double"))), 6).alias(f"{prefix}_{m}") for prefix, arm in arms.items() for m in measures]
+    return rows.groupBy(key).agg(*of)

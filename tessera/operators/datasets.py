@@ -42,8 +42,17 @@ def tier(correct: Column, f1: Column, gave_up: Column, has_history: Column, gold
 
 
 def process_clean(rows: DataFrame) -> DataFrame:
-    """Finished episodes that cite something and read whatever they cite."""
-    return rows.filter(F.col("done") & (F.col("n_citations") > 0) & (F.col("read_before_cite") >= 0.999))
+    """Finished episodes that cite something and read whatever they cite, right or wrong.
+
+    Where rows have the columns has_history and gave_up, episodes without recorded turns, and those that a failing
+    service ended, go too; null counts as no history, and as not given up.
+    """
+    keep = F.col("done") & (F.col("n_citations") > 0) & (F.col("read_before_cite") >= 0.999)
+    if "has_history" in rows.columns:
+        keep &= F.coalesce("has_history", F.lit(False))
+    if "gave_up" in rows.columns:
+        keep &= ~F.coalesce("gave_up", F.lit(False))
+    return rows.filter(F.coalesce(keep, F.lit(False)))
 
 
 def yield_by_bar(rows: DataFrame, bars: tuple[float, ...] = (0.999, 0.75, 0.5, 0.34)) -> DataFrame:
@@ -68,6 +77,14 @@ def structure_findings(turns: DataFrame) -> DataFrame:
     return per.select("conv_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("conv_id", "x.severity", "x.key")
 
 
+def first_violations(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, before, role: where each conversation (conv_id, turn, role) has one role twice in a row for the first time."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    again = turns.withColumn("before", F.lag("role").over(w)).filter(F.col("before") == F.col("role"))
+    first = again.groupBy("conv_id").agg(F.min_by(F.struct("turn", "before", "role"), "turn").alias("x"))
+    return first.select("conv_id", "x.turn", "x.before", "x.role")
+
+
 def findings_report(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity", "key").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("example"))
 

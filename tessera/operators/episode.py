@@ -67,6 +67,10 @@ def _ratio(a: Column, b: Column, default: float) -> Column:
     return F.when(b > 0, a / F.greatest(b, F.lit(1))).otherwise(F.lit(default))
 
 
+#: Counts of a citation report; n_cited are different titles, tp, fp and fn ask for a read, title_* don't.
+COUNTERS = ["n_citations", "n_resolved", "n_fabricated", "n_uncited", "tp", "fp", "fn", "n_gold", "title_tp", "title_fp", "title_fn", "n_cited", "n_cited_read"]
+
+
 def citation_report(episodes: DataFrame) -> DataFrame:
     """ep and the counters and ratios of its citations.
 
@@ -88,7 +92,8 @@ def citation_report(episodes: DataFrame) -> DataFrame:
     })
     f1 = lambda p, r: F.when(p + r > 0, 2 * p * r / F.greatest(p + r, F.lit(1e-12))).otherwise(0.0)
     e = e.withColumns({"f1": f1(F.col("precision"), F.col("recall")), "title_f1": f1(F.col("title_precision"), F.col("title_recall"))})
-    return e.select("ep", "n_citations", "n_resolved", "n_fabricated", "tp", "fp", "fn", "n_uncited", "precision", "recall", "f1", "title_precision", "title_recall", "title_f1", "read_before_cite")
+    e = e.withColumns({"title_fp": F.col("n_cited") - F.col("title_tp"), "title_fn": F.col("n_gold") - F.col("title_tp")})
+    return e.select("ep", *COUNTERS, "precision", "recall", "f1", "title_precision", "title_recall", "title_f1", "read_before_cite")
 
 
 def format_error(episodes: DataFrame) -> Column:
@@ -101,5 +106,5 @@ def eval_rows(episodes: DataFrame, report: DataFrame, max_turns: int = MAX_TURNS
     rows = episodes.join(report, "ep")
     pred = X.strip_citations(F.coalesce("final_answer", F.lit("")))
     rows = rows.withColumn("correct", F.col("done") & X.exact_match(pred, F.col("answers"))).withColumn("outcome", F.col("correct").cast("double"))
-    bucket = F.when(~F.col("correct"), "wrong_answer").when(F.col("n_citations") == 0, "uncited").when(F.col("f1") < 0.999, "miscited").otherwise("correct_and_cited")
+    bucket = F.when(~F.col("correct"), "wrong_answer").when(F.col("n_citations") == 0, "correct_uncited").when(F.col("f1") < 0.999, "correct_miscited").otherwise("correct_and_cited")
     return rows.withColumns({"bucket": bucket, "capped": F.col("n_tool_calls") >= max_turns, "format_error": format_error(rows), "answer_words": F.size(X.answer_tokens(F.col("final_answer")))})

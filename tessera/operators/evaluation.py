@@ -25,6 +25,18 @@ def share(rows: DataFrame, by: str) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
+def with_meta(rows: DataFrame, meta: DataFrame) -> DataFrame:
+    """rows (task_id, ...) with dataset and hops of meta (task_id, dataset, n_hops), where they are known.
+
+    Without a dataset it is what the task's id has before its first hyphen; without hops, or with 0, they are 2 for
+    sources named hotpot or hotpotqa, and else null, which slices leave out.
+    """
+    joined = rows.join(meta.select("task_id", F.col("dataset").alias("of"), F.col("n_hops").alias("h")).dropDuplicates(["task_id"]), "task_id", "left")
+    source = F.coalesce(F.when(F.col("of") != "", F.col("of")), F.split_part("task_id", F.lit("-"), F.lit(1)))
+    hops = F.coalesce(F.when(F.col("h") != 0, F.col("h")), F.when(source.isin("hotpot", "hotpotqa"), 2))
+    return joined.withColumns({"dataset": source, "n_hops": hops.cast("int")}).drop("of", "h")
+
+
 def slices(rows: DataFrame, *keys: str) -> DataFrame:
     """One row per value of each key and one for all, by grouping sets; slice names the key."""
     measures = ["correct", "f1", "good", "capped"]

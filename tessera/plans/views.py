@@ -70,7 +70,7 @@ rep AS (SELECT *, CASE WHEN "precision" + recall > 0 THEN 2 * "precision" * reca
 norm AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(translate(lower(trim(regexp_replace(coalesce(final_answer, ''), '\[[^\]]+?\]', '', 'g'))), '.!,', ''), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ') AS pred,
   len(list_filter(regexp_split_to_array(translate(lower(coalesce(final_answer, '')), '.!,[]', ''), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')))::INT AS answer_words FROM rep),
 ro AS (SELECT *, done AND pred = answer AS correct, CASE WHEN pred = '' THEN 0.0 ELSE 2.0::DOUBLE * len(list_filter(string_split(answer, ' '), lambda x: list_contains(string_split(pred, ' '), x))) / (len(string_split(pred, ' ')) + len(string_split(answer, ' '))) END AS answer_f1 FROM norm),
-rows AS (SELECT *, correct::INT::DOUBLE AS outcome, CASE WHEN NOT correct THEN 'wrong_answer' WHEN n_citations = 0 THEN 'uncited' WHEN f1 < 0.999 THEN 'miscited' ELSE 'correct_and_cited' END AS bucket, n_tool_calls >= 8 AS capped,
+rows AS (SELECT *, correct::INT::DOUBLE AS outcome, CASE WHEN NOT correct THEN 'wrong_answer' WHEN n_citations = 0 THEN 'correct_uncited' WHEN f1 < 0.999 THEN 'correct_miscited' ELSE 'correct_and_cited' END AS bucket, n_tool_calls >= 8 AS capped,
   CASE WHEN n_steps = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, n_unparsed::DOUBLE / n_steps + CASE WHEN done THEN 0 ELSE 0.5 END) END AS format_error,
   CASE WHEN len(list_distinct(gold)) = 0 THEN 1.0 ELSE len(list_filter(list_distinct(gold), lambda x: list_contains(retrieved, x)))::DOUBLE / len(list_distinct(gold)) END AS hit_rate FROM ro)
 """

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = ["wrong_answer", "uncited", "miscited", "correct_and_cited"]
+BUCKETS = ["wrong_answer", "correct_uncited", "correct_miscited", "correct_and_cited"]
 #: Lines of a card: measure and what it says.
 LINES = {
     "correct_rate": "correct (exact match)", "mean_title_f1": "picked the right sources", "mean_read_before_cite": "read before citing", "mean_cite_f1": "citation F1", "calls_read_rate": "read at least once",
