@@ -45,10 +45,15 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
 
 
+#: Folders of this process's applications, which go when Python ends, whether their session was stopped before or not.
+_FOLDERS: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path below the shared one, named after the application that owns it. It goes when Python ends."""
-    atexit.unregister(clean)
-    atexit.register(clean, spark)
+    if not _FOLDERS:
+        atexit.register(clean)
+    _FOLDERS.add(_folder(spark))
     return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -67,10 +72,20 @@ def release(*kept: DataFrame) -> None:
         _delete(df.sparkSession, df._tessera_path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete all scratch folders of this application; its results that were not read or written yet are lost."""
-    with contextlib.suppress(Exception):  # a stopped session has nothing left to ask
-        _delete(spark, _folder(spark))
+def clean() -> None:
+    """Delete all scratch folders of this process; results that were not read or written yet are lost.
+
+    The file system is asked apart from Spark, so a stopped session is no hindrance; where it can't be, the active session is.
+    """
+    from pyarrow import fs
+
+    for uri in [_FOLDERS.pop() for _ in range(len(_FOLDERS))]:
+        try:
+            system, path = fs.FileSystem.from_uri(uri)
+            system.delete_dir(path)
+        except Exception:
+            with contextlib.suppress(Exception):  # nothing is left to ask
+                _delete(SparkSession.getActiveSession(), uri)
 
 
 def _delete(spark: SparkSession, uri: str) -> None:

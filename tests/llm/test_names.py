@@ -50,3 +50,22 @@ def test_long_runs_of_one_word_take_seconds(spark):
     began = time.time()
     found = {r["doc_id"]: r["items"] for r in decontaminate.decontaminate(docs, bench).collect()}
     assert found == {1: [], 2: [1], 3: [0]} and time.time() - began < 60
+
+
+def test_scratch_goes_after_the_session_was_stopped(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+from tessera.llm.common import keep
+for k in range(2):
+    spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "{tmp_path}").getOrCreate()
+    assert keep(spark.range(3), "x").count() == 3
+    spark.stop()
+import os
+print(len([n for n in os.listdir("{tmp_path}") if n.startswith("tessera-")]))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip().endswith("2"), done.stderr[-500:]
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("tessera-")]
