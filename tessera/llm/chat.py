@@ -39,6 +39,11 @@ def maximal_conversations(conversations: DataFrame) -> DataFrame:
     included; the smallest id stands for them). Two conversations are compared by 128 bits of rolling hashes over
     place, role and text. Prefixes are made distinct before the anti-join, so a first turn that millions of
     conversations share is one row of it. An empty table gives no rows.
+
+    Turns are ordered by (turn, role, text), null turn numbers last; a row that repeats another of its conversation counts
+    once; null roles and texts are empty; rows without conv_id are one conversation. A conversation is one row of the
+    result, so its turns meet in one task, however many they are. Other columns, whatever their names, are neither read
+    nor returned.
     """
     turns = _turns(conversations)
     whole = turns.groupBy("conv_id").agg(
@@ -61,7 +66,7 @@ def render(turns: Column) -> Column:
 
 
 def format_chat(conversations: DataFrame) -> DataFrame:
-    """Maximal conversations rendered: conv_id, n_turns, n_same, rendered."""
+    """Maximal conversations rendered: conv_id, n_turns, n_same, rendered. See maximal_conversations for odd rows."""
     return maximal_conversations(conversations).select("conv_id", "n_turns", "n_same", render(F.col("turns")).alias("rendered"))
 
 

@@ -240,7 +240,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bl
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, contaminated, n_items, items, matched for every row of docs; see find_leaks for odd rows."""
+    """doc_id, n_words, contaminated, n_items, items, matched for every row of docs.
+
+    Null and empty texts have no words and no items, as any text has with an empty benchmark; long texts are searched
+    whole. Repeated rows, and rows without id, stand for themselves; items with equal text are all named. Other columns,
+    whatever their names, are neither read nor returned. An empty table gives no rows.
+    """
     rows = find_leaks(docs.select("doc_id", "text"), benchmark)
     items = F.col(f"{OWN}items")
     return rows.select("doc_id", F.col(f"{OWN}n_words").alias("n_words"), (F.size(items) > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.col(f"{OWN}matched").alias("matched"))

@@ -161,7 +161,10 @@ def judge(rows: DataFrame, fences: DataFrame) -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """(doc_id, text, lang, source) to a row per row of docs: doc_id, BASE, base_failed, kept.
 
-    Null lang and null source are groups of their own. Null and empty texts have no words and fail the base rules.
+    Null lang and null source are groups of their own. Null and empty texts have no words and fail the base rules. Long
+    texts are measured whole. Equal texts of a group have equal verdicts, and repeated rows are rows of their own, in
+    sketches too; a value on a fence is kept. Other columns, whatever their names, are neither read nor returned. An
+    empty table gives no rows.
     The measures are written once; sketches, fences and verdicts come from that small table.
     """
     slim = docs.select("doc_id", "text", "lang", "source")

@@ -181,6 +181,10 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, text) to doc_id, n_bytes, n_tokens, over_limit; one row per row of docs, none for an empty table."""
+    """(doc_id, text) to doc_id, n_bytes, n_tokens, over_limit for every row of docs.
+
+    Null texts are empty and have no tokens; long texts are counted whole; repeated rows, and rows without id, are rows
+    of their own. Other columns, whatever their names, are neither read nor returned. An empty table gives no rows.
+    """
     rows = count_tokens(docs.select("doc_id", "text"), path)
     return rows.select("doc_id", F.col(f"{OWN}n_bytes").alias("n_bytes"), F.col(f"{OWN}n_tokens").alias("n_tokens"), (F.col(f"{OWN}n_tokens") > limit).alias("over_limit"))
