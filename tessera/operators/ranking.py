@@ -21,6 +21,8 @@ from tessera.operators.retrieval import K1, B
 
 #: Different tokens of questions or passages in a block, all texts' together, and products of a batch held at a time.
 BLOCK, PRODUCTS = 200_000, 1 << 20
+#: Texts whose tokens are Python objects at one time.
+ROWS = 200
 #: Scores are rounded to six decimals, and ordered by that; a bound must allow for it.
 SLACK = 2e-6
 
@@ -169,6 +171,13 @@ def search_corpus(questions: DataFrame, passages: DataFrame, k: int = 3, k1: flo
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces whose tokens may be Python objects at one time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _best_of(held, kind: pa.DataType, k: int, k1: float, b: float, average: float):
     """A task's k best passages of each question of a block."""
 
@@ -176,7 +185,7 @@ def _best_of(held, kind: pa.DataType, k: int, k1: float, b: float, average: floa
         block = held()
         best: list[list[tuple[float, str]]] = [[] for _ in block.names]
         need = np.zeros(len(block.names))
-        for batch in batches:
+        for batch in _few(batches):
             titles, tokens = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for low, high in block.slices(tokens):
                 length = np.array([len(t) for t in tokens[low:high]], np.float64)
@@ -229,7 +238,7 @@ def _best_in(held):
         order = np.argsort(np.array(block.names, object), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))  # of titles, for ties
-        for batch in batches:
+        for batch in _few(batches):
             ids, tokens = batch.column(0), batch.column(1).to_pylist()
             for low, high in block.slices(tokens):
                 r, c, s = block.scores(tokens[low:high], lambda tf, row: tf, none, 0.0)

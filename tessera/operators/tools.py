@@ -40,6 +40,12 @@ def menu(names: list[str]) -> str:
     return "\n".join(known[n].line() for n in names if n in known)
 
 
+def menu_of(names: Column) -> Column:
+    """menu of an array column: the line of each known name, in the array's order; null for null."""
+    lines = F.create_map(*[x for t in TOOLS for x in (F.lit(t.name), F.lit(t.line()))])
+    return F.array_join(F.filter(F.transform(names, lambda n: F.try_element_at(lines, n)), lambda x: x.isNotNull()), "\n")
+
+
 def _problem(name: Column, args: Column) -> Column:
     """struct<error, obs> of what is wrong with a call before it runs, else null; args is a map."""
     out = F.lit(None).cast("struct<error:string,obs:string>")

@@ -40,9 +40,14 @@ def tool_execute(spark, d):
     return T.execute(calls, spark.sql(PASSAGES)).select("id", "name", "ok", "error", "obs", F.array_join("titles", ",").alias("titles"))
 
 
-@query("""SELECT nation.n_nationkey, '- search(query, k?): titles and first words of the best passages' || chr(10) || '- read(title): a passage''s whole text' AS menu FROM nation""")
+#: Each nation offers tools of its own, one of them unknown.
+OFFERED = "CASE n_nationkey % 4 WHEN 0 THEN {a}'search'{b} WHEN 1 THEN {a}'read', 'fly', 'search'{b} WHEN 2 THEN {a}'fly'{b} ELSE {a}'answer', 'read'{b} END"
+
+
+@query(f"""SELECT n_nationkey, array_to_string(list_filter(list_transform({OFFERED.format(a="[", b="]")}, lambda x: CASE x WHEN 'search' THEN '- search(query, k?): titles and first words of the best passages'
+  WHEN 'read' THEN '- read(title): a passage''s whole text' WHEN 'answer' THEN '- answer(text): your answer; this ends the episode' END), lambda x: x IS NOT NULL), chr(10)) AS menu FROM nation""")
 def tool_menu(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.lit(T.menu(["search", "fly", "read"])).alias("menu"))
+    return table(spark, d, "nation").select("n_nationkey", T.menu_of(F.expr(OFFERED.format(a="array(", b=")"))).alias("menu"))
 
 
 # ---- citations

@@ -95,6 +95,8 @@ def report_markdown(rows: DataFrame, columns: list[str]) -> DataFrame:
 FIXTURES = [
     ("fx-1", "Who designed the bridge at Orlen?", "Mara Velt", ["M. Velt"], ["Orlen Bridge", "Mara Velt"], [("Orlen Bridge", "The Orlen Bridge was designed by Mara Velt."), ("Mara Velt", "Mara Velt was an engineer."), ("Orlen", "Orlen is a town."), ("Velt Prize", "A prize for bridges.")]),
     ("fx-2", "In which year did the Tarn mill open?", "1911", [], ["Tarn mill", "Tarn"], [("Tarn mill", "The Tarn mill opened in 1911."), ("Tarn", "Tarn is a river."), ("Mills", "Mills grind grain."), ("1911", "A year.")]),
+    ("fx-3", "Is the harbour of Sell older than the Tarn mill?", "yes", ["Yes, it is"], ["Harbour of Sell", "Tarn mill"], [("Harbour of Sell", "The harbour of Sell was built in 1840."), ("Tarn mill", "The Tarn mill opened in 1911."), ("Sell", "Sell is a port."), ("Harbours", "Ships lie in harbours.")]),
+    ("fx-4", "Which river runs below the bridge that Mara Velt designed?", "the Tarn", ["Tarn", "River Tarn"], ["Orlen Bridge", "Mara Velt", "Tarn"], [("Mara Velt", "Mara Velt designed the Orlen Bridge."), ("Orlen Bridge", "The Orlen Bridge spans the Tarn."), ("Tarn", "Tarn is a river."), ("Bridges", "Bridges span rivers.")]),
 ]
 
 

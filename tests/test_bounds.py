@@ -22,6 +22,12 @@ def test_arguments_without_a_value(spark):
     assert all(obs is not None for _, _, obs in got.values())
 
 
+def test_menus_of_a_column(spark):
+    rows = spark.createDataFrame([(["read", "fly", "search"],), ([],), (None,), ([None, "answer"],)], "names array<string>")
+    got = [r[0] for r in rows.select(T.menu_of(F.col("names"))).collect()]
+    assert got == [T.menu(["read", "search"]), "", None, T.menu(["answer"])]
+
+
 # ---- order statistics and intervals
 
 
