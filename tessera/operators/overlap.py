@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def overlaps(rows: DataFrame, id_col: str) -> DataFrame:
-    """(id, a array<string>, b array<string>) to id, n_a, n_b, same, a_in_b: lengths, the multiset overlap, and how many of
-    a's tokens, repeats counted, stand in b.
+def overlaps(rows: DataFrame, *ids: str) -> DataFrame:
+    """(ids, a array<string>, b array<string>) to ids, n_a, n_b, same, a_in_b: lengths, the multiset overlap, and how many
+    of a's tokens, repeats counted, stand in b.
 
-    Tokens are counted by (id, token), pre-aggregated where rows are, so no array is searched for each token of another.
-    Null arrays are empty; ids must differ.
+    Tokens are counted by (ids, token), pre-aggregated where rows are, so no array is searched for each token of another,
+    and rows are read once. Null arrays are empty; ids must differ, and nulls in them are a value.
     """
     side = lambda c, x, y: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.struct(t.alias("t"), F.lit(x).alias("x"), F.lit(y).alias("y")))
-    counts = rows.select(id_col, F.explode(F.concat(side("a", 1, 0), side("b", 0, 1))).alias("e")).groupBy(id_col, "e.t").agg(F.sum("e.x").alias("x"), F.sum("e.y").alias("y"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    per = counts.groupBy(id_col).agg(F.sum("x").alias("n_a"), F.sum("y").alias("n_b"), F.sum(F.least("x", "y")).alias("same"), F.sum(F.when(F.col("y") > 0, F.col("x"))).alias("in_b"))
-    return rows.select(id_col).join(per, id_col, "left").select(id_col, *[zero(F.col(c)).alias(c) for c in ("n_a", "n_b", "same")], zero(F.col("in_b")).alias("a_in_b"))
+    tokens = rows.select(*ids, F.explode_outer(F.concat(side("a", 1, 0), side("b", 0, 1))).alias("e"))
+    counts = tokens.groupBy(*ids, "e.t").agg(F.sum("e.x").alias("x"), F.sum("e.y").alias("y"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return counts.groupBy(*ids).agg(total("x", "n_a"), total("y", "n_b"), total(F.least("x", "y"), "same"), total(F.when(F.col("y") > 0, F.col("x")), "a_in_b"))
 
 
 def f1(over: DataFrame):

@@ -163,8 +163,8 @@ def _pairs(spark, d):
 def _over(spark, d, tokens, measure, name):
     """A measure of the tokens that a document and its best benchmark text share."""
     p = _pairs(spark, d).select("doc_id", "item_id", tokens(F.col("pred")).alias("a"), tokens(F.coalesce("gold", F.lit(""))).alias("b"))
-    over = O.overlaps(p, "doc_id")
-    return p.select("doc_id", "item_id").join(over, "doc_id").select("doc_id", "item_id", F.round(measure(over), 6).alias(name))
+    over = O.overlaps(p, "doc_id", "item_id")
+    return over.select("doc_id", "item_id", F.round(measure(over), 6).alias(name))
 
 
 @query(f"SELECT doc_id, array_to_string({NORM.format('text')}, ' ') AS norm FROM documents")
