@@ -144,10 +144,23 @@ def test_ranking_leaves_common_tokens_out(spark):
     assert [x.tolist() for x in block.scores([["the", "of"], ["w1", "the"]], value, np.array([2.0]), 2.5)] == [[1], [0], [3.1]]
 
 
-def test_held_texts(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_held_texts(spark, monkeypatch, most):
+    from tessera.operators import containment
     from tessera.operators.containment import containing
 
+    monkeypatch.setattr(containment, "MOST_ROWS", most)
+
     texts = [("a", "xx one two three yy"), ("b", "one two threefold"), ("c", "one  two three"), ("d", None), ("e", "!!"), ("f", "none two t")]
     held = [(1, "one two three"), (2, "ne two t"), (3, "!"), (4, None), (5, ""), (6, "one"), (7, "zz one two qq"), (1, "one two three")]
     got = sorted(map(tuple, containing(spark.createDataFrame(texts, "title string, text string"), spark.createDataFrame(held, "qid int, held string")).select("qid", "title").collect()))
     assert got == sorted((q, t) for q, h in held if h is not None for t, x in texts if x is not None and h in x)
+
+
+def test_overlaps_by_counts(spark):
+    from tessera.operators import overlap as O
+
+    rows = [(1, None, ["a", "a", "b"], ["a", "c", "a", "a"]), (2, 5, [], ["x"]), (3, 5, None, None), (4, 6, ["a"], []), (5, 7, ["q"] * 3, ["q"])]
+    over = O.overlaps(spark.createDataFrame(rows, "i int, k int, a array<string>, b array<string>"), "i", "k")
+    got = {r["i"]: tuple(r)[1:] for r in over.select("i", "k", "n_a", "n_b", "same", "a_in_b", O.f1(over).alias("f"), O.recall(over).alias("r")).collect()}
+    assert got == {1: (None, 3, 4, 2, 2, pytest.approx(4 / 7), pytest.approx(2 / 3)), 2: (5, 0, 1, 0, 0, 0.0, 0.0), 3: (5, 0, 0, 0, 0, 1.0, 0.0), 4: (6, 1, 0, 0, 0, 0.0, 0.0), 5: (7, 3, 1, 1, 3, 0.5, 1.0)}
