@@ -51,15 +51,15 @@ ANNOUNCED = "SELECT ts, CASE WHEN (event_id // 97) % 5 = 4 THEN event_id // 97 -
 
 def _intervals(spark, d):
     announced = table(spark, d, "events").filter("event_id % 97 = 0").selectExpr("ts", "CASE WHEN (event_id div 97) % 5 = 4 THEN event_id div 97 - 3 ELSE event_id div 97 END AS step")
-    folder = shared_folder(spark, "steps")
+    folder, row = shared_folder(spark, "steps"), "begin timestamp, end timestamp, step long"
     T.step_intervals(announced).write.parquet(folder)
-    return spark.readStream.schema("begin timestamp, end timestamp, step long").parquet(folder)
+    return spark.readStream.schema(row).parquet(folder), T.stretch(spark.read.schema(row).parquet(folder))
 
 
 @query(f"WITH a AS ({ANNOUNCED}), s AS (SELECT ts, max(step) OVER (ORDER BY ts) AS step FROM a) SELECT s.step::BIGINT AS step, event_type, count(*)::BIGINT AS n, min(event_id)::BIGINT AS first_event, max(event_id)::BIGINT AS last_event FROM events e ASOF JOIN s ON e.ts >= s.ts GROUP BY ALL")
 def stream_with_step(spark, d):
-    steps = _intervals(spark, d)
-    rows = _drained(spark, d, lambda e: T.with_step(e, steps), "append")
+    steps, width = _intervals(spark, d)
+    rows = _drained(spark, d, lambda e: T.with_step(e.select("event_id", "ts", "event_type"), steps, width=width), "append")
     return rows.groupBy("step", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.streaming.machine import use_disk_state
+
 #: Components of an episode's reward that are averaged by step, in the order of the log. Fixed values.
 COMPONENTS = [
     "outcome", "groundedness", "cite_f1", "cite_precision", "cite_recall", "cite_fabricated", "cite_uncited_claims", "hit_rate", "judge", "format_error", "n_steps", "base",
@@ -12,6 +14,8 @@ COMPONENTS = [
 ]
 #: How the keys of a call begin that carries training data. Fixed values.
 TRAIN = ["actor/", "batch/"]
+#: Stretches that intervals are cut into, by their number, and how long an interval holds at most.
+FINE, HORIZON = 8, "40 days"
 
 
 def step_intervals(announced: DataFrame) -> DataFrame:
@@ -33,15 +37,31 @@ def _buckets(begin: Column, end: Column, width: int) -> Column:
     return F.sequence(F.floor(F.unix_seconds(begin) / width), F.floor(F.unix_seconds(end) / width))
 
 
-def with_step(events: DataFrame, steps: DataFrame, late: str = "1 hour", width: int = 86_400, horizon: str = "40 days") -> DataFrame:
+def _until(horizon: str) -> Column:
+    """How far an interval of begin and end reaches: to its end, at most horizon."""
+    far = F.col("begin") + F.expr(f"INTERVAL {horizon}")
+    return F.least(F.coalesce("end", far), far)
+
+
+def stretch(steps: DataFrame, horizon: str = HORIZON) -> int:
+    """Seconds of a stretch for with_step, from a table of the intervals: their time in all, cut into FINE stretches an interval.
+
+    So an interval is in FINE + 1 stretches on average, and a stretch holds fewer intervals than two on average, however
+    many are announced.
+    """
+    n, seconds = steps.agg(F.count(F.lit(1)), F.sum(F.unix_seconds(_until(horizon)) - F.unix_seconds("begin"))).first()
+    return max(1, -(-(seconds or 0) // (FINE * n))) if n else 1
+
+
+def with_step(events: DataFrame, steps: DataFrame, late: str = "1 hour", width: int = 86_400, horizon: str = HORIZON) -> DataFrame:
     """Streams of events (ts, ...) and of steps (begin, end, step) to events with the step that was current at their time.
 
     Events before the first step have none and are left out. Both sides wait in state until the watermark shows that no
-    partner can come; the join's key is the stretch of width seconds, and an interval stands in each that it touches.
+    partner can come; the join's key is the stretch of width seconds, and an interval stands in each that it touches. An
+    event is compared with all intervals of its stretch, so width has to suit their number: stretch gives it.
     The newest step, whose end is null, holds for horizon; intervals that are longer are cut there.
     """
-    far = F.col("begin") + F.expr(f"INTERVAL {horizon}")
-    s = steps.withColumn("end", F.least(F.coalesce("end", far), far)).withWatermark("begin", late)
+    s = steps.withColumn("end", _until(horizon)).withWatermark("begin", late)
     s = s.withColumn("bucket", F.explode(_buckets(F.col("begin"), F.col("end"), width))).select(F.col("bucket").alias("s_bucket"), "begin", "end", "step")
     e = events.withWatermark("ts", late).withColumn("bucket", F.floor(F.unix_seconds("ts") / width))
     on = (F.col("bucket") == F.col("s_bucket")) & (F.col("ts") >= F.col("begin")) & (F.col("ts") < F.col("end")) & (F.col("ts") <= F.col("begin") + F.expr(f"INTERVAL {horizon}"))

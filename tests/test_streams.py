@@ -175,6 +175,18 @@ def test_steps_rise_and_are_those_of_an_as_of_join(spark, tmp_path):
     assert in_time == sorted(in_time)
 
 
+def test_stretches_suit_the_number_of_steps(spark):
+    """However many steps are announced, few of them share a stretch, and few stretches have one."""
+    for n in (1, 30, 3000):
+        announced = spark.range(n).selectExpr("timestamp_seconds(1704067200 + id * 2592000 div {0}) AS ts".format(n), "id AS step")
+        steps = T.step_intervals(announced)
+        width = T.stretch(steps)
+        held = steps.withColumn("bucket", F.explode(T._buckets(F.col("begin"), T._until(T.HORIZON), width))).groupBy("bucket").count()
+        total, most = held.agg(F.sum("count"), F.max("count")).first()
+        assert total <= 11 * n + 1 and most <= 12, (n, width)
+    assert T.stretch(steps.limit(0)) == 1
+
+
 def test_a_gate_that_asks_for_the_wrong_thing_does_not_merge_steps(spark):
     infos = spark.createDataFrame([(1, {"outcome": 1.0, "n_citations": 2.0}), (1, {"outcome": 0.0}), (2, {"outcome": 0.5, "judge": None}), (None, {"outcome": 1.0})], "step long, values map<string,double>")
     means = {r["step"]: r for r in T.component_means(infos).collect()}
