@@ -30,6 +30,21 @@ def build(name: str = "tessera", master: str | None = None, shuffle_partitions:
     return spark
 
 
+#: Rows and bytes of an Arrow batch, at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches that Python workers hold small whatever the rows' lengths are.
+
+    These two session settings are only lowered, and stay so, as they count when a result is computed.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = spark.conf.get(name)
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(name, str(most))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's URI below spark.checkpoint.dir, which every executor sees; a local master may do without it (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

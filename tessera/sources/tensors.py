@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.encoding import IGNORE
+from tessera.session import bound_batches
 
 INDEX = "file string, row_group int, n_rows int, longest int, n_tokens long, n_padded long"
 
@@ -43,6 +44,7 @@ def write_examples(examples: DataFrame, folder: str, config: dict | None = None,
     file has its name only when it is complete. An empty table gives an index without rows.
     """
     spark = examples.sparkSession
+    bound_batches(spark)
     folder = folder if ":/" in folder else f"file://{folder}"
     rest = [c for c in examples.columns if c not in ("conv_id", "input_ids", "labels")]
     meta = F.to_json(F.struct(*rest)) if rest else F.lit("{}")

@@ -142,3 +142,13 @@ def test_queries_vary(spark, sf_dir):
     assert queries["sft_encode_episodes"](spark, sf_dir).select("outcome", "n_rejected").distinct().count() > 3
     assert {r["outcome"] for r in queries["sft_outcomes"](spark, sf_dir).collect()} >= {"encoded"}
     assert queries["sft_tensor_rows"](spark, sf_dir).count() == queries["sft_padding"](spark, sf_dir).first()["n_examples"]
+
+
+def test_few_conversations_are_encoded_at_one_time(spark):
+    sizes = [10] * 450 + [N.AT_ONCE + 1, 5, N.AT_ONCE, N.AT_ONCE // 2, N.AT_ONCE // 2, 0]
+    cuts = list(N._slices(sizes))
+    assert [k for low, high in cuts for k in range(low, high)] == list(range(len(sizes))) and not list(N._slices([]))
+    assert all(high - low <= N.CONVERSATIONS and (sum(sizes[low:high]) <= N.AT_ONCE or high - low == 1) for low, high in cuts)
+    N.encode(spark.createDataFrame([], SCHEMA), training.vocabulary())
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert N._lists([np.array([1, 2], np.int32), None, np.zeros(0, np.int32)]).to_pylist() == [[1, 2], None, []]
