@@ -7,8 +7,10 @@ greatest contributions together can't reach it are not looked up, except for pas
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.text import bm25_tokens
 from tessera.operators.retrieval import K1, B
+from tessera.session import bound_batches
 
 #: Different tokens of questions or passages in a block, all texts' together, and products of a batch held at a time.
 BLOCK, PRODUCTS = 200_000, 1 << 20
@@ -25,6 +28,13 @@ BLOCK, PRODUCTS = 200_000, 1 << 20
 ROWS = 200
 #: Scores are rounded to six decimals, and ordered by that; a bound must allow for it.
 SLACK = 2e-6
+#: UTF-8 bytes of lower-cased text that aren't of a token become blanks.
+_KEEP = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
+
+
+def words(text: str | None) -> list[str]:
+    """bm25_tokens of a text, where Python has it."""
+    return (text or "").lower().encode("utf-8", "replace").translate(_KEEP).decode("ascii").split()
 
 
 def spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,16 +165,18 @@ def search_corpus(questions: DataFrame, passages: DataFrame, k: int = 3, k1: flo
     for how many hold each token and for the ranking. An empty table on either side gives no rows.
     """
     spark = passages.sparkSession
-    docs = passages.filter("title is not null").select("title", bm25_tokens(F.concat_ws(" ", "title", "text")).alias("tokens"))
-    n, average = docs.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
-    average = average or 1.0
+    bound_batches(spark)
+    docs = passages.filter("title is not null").select("title", F.concat_ws(" ", "title", "text").alias("text"))
+    n = average = None
     texts = questions.filter("qid is not null").select(F.col("qid").alias("name"), bm25_tokens(F.col("query")).alias("tokens"))
     kind = dict(questions.dtypes)["qid"]
     out = spark.createDataFrame([], f"qid {kind}, title string, score double")
     for held in _blocks(texts, block):
-        wanted = spark.createDataFrame([(t,) for t in sorted(set().union(*[of for _, of in held]))], "t string")
-        df = docs.select(F.explode(F.array_distinct("tokens")).alias("t")).join(F.broadcast(wanted), "t").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-        idf = {t: _idf(n, m) for t, m in map(tuple, df.collect())}
+        counted = docs.select("text").mapInArrow(_count_of(_sent(spark, frozenset().union(*[of for _, of in held]))), "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
+        df = dict(map(tuple, counted.collect()))
+        length, n = df.pop(LENGTH, 0), df.pop(TEXTS, 0)
+        average = length / n if length else 1.0
+        idf = {t: _idf(n, m) for t, m in df.items()}
         made = Block.build([(q, {t: m * idf.get(t, 0.0) for t, m in of.items()}) for q, of in held])
         out = out.unionByName(docs.mapInArrow(_best_of(_sent(spark, made), to_arrow_type(questions.schema["qid"].dataType), k, k1, b, average), out.schema))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "title")
@@ -178,6 +190,26 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
+#: Names of two sums beside the tokens' own, which no token has.
+LENGTH, TEXTS = " length", " texts"
+
+
+def _count_of(wanted):
+    """How many of a task's texts hold each wanted token, and how many tokens and texts there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, found, length, n = wanted(), Counter(), 0, 0
+        for batch in _few(batches):
+            for text in batch.column(0).to_pylist():
+                tokens = words(text)
+                length, n = length + len(tokens), n + 1
+                found.update(keys.intersection(tokens))
+        found.update({LENGTH: length, TEXTS: n})
+        yield pa.record_batch({"t": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
+    return run
+
+
 def _best_of(held, kind: pa.DataType, k: int, k1: float, b: float, average: float):
     """A task's k best passages of each question of a block."""
 
@@ -186,7 +218,7 @@ def _best_of(held, kind: pa.DataType, k: int, k1: float, b: float, average: floa
         best: list[list[tuple[float, str]]] = [[] for _ in block.names]
         need = np.zeros(len(block.names))
         for batch in _few(batches):
-            titles, tokens = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            titles, tokens = batch.column(0).to_pylist(), list(map(words, batch.column(1).to_pylist()))
             for low, high in block.slices(tokens):
                 length = np.array([len(t) for t in tokens[low:high]], np.float64)
                 value = lambda tf, row: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / average))  # noqa: E731, B023
@@ -205,32 +237,55 @@ def _best_of(held, kind: pa.DataType, k: int, k1: float, b: float, average: floa
     return run
 
 
+def with_best_passage(rows: DataFrame, qid: str, query: str, passages: DataFrame, k1: float = K1, b: float = B, block: int = BLOCK) -> DataFrame:
+    """rows with title and score of best_passage, null where a row has none; qid and query name its columns.
+
+    Where the passages are one block, all columns pass through where the row is, so nothing is shuffled. With more, rows
+    pass by each block, and the best of all are joined by qid, which must differ then. Rows whose qid is null have none.
+    """
+    spark = rows.sparkSession
+    bound_batches(spark)
+    none = {"title": F.lit(None).cast("string"), "score": F.lit(None).cast("double")}
+    by = lambda made, of: of.mapInArrow(_better_in(_sent(spark, made), of.columns.index(qid), of.columns.index(query)), of.schema)
+    blocks = _passage_blocks(spark, passages, k1, b, block)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return rows.withColumns(none) if first is None else by(first, rows.withColumns(none))
+    found = None
+    for made in chain((first, second), blocks):
+        own = by(made, rows.select(qid, query).withColumns(none)).filter("title is not null").select(qid, "title", "score")
+        found = own if found is None else found.unionByName(own)
+    order = Window.partitionBy(qid).orderBy(F.desc("score"), "title")
+    best = found.withColumn("rank", F.row_number().over(order)).filter("rank = 1").drop("rank")
+    return rows.join(best, qid, "left").select(*rows.columns, "title", "score")
+
+
 def best_passage(questions: DataFrame, passages: DataFrame, k1: float = K1, b: float = B, block: int = BLOCK) -> DataFrame:
     """search_corpus with k = 1 where the passages are the few and the questions (qid, query) the many: qid, title, score.
 
-    Passages pass through the driver in blocks of block tokens, and questions are read once for each block, where they are.
+    Passages pass through the driver in blocks of block tokens, and questions pass by each block, where they are.
     """
-    spark = questions.sparkSession
+    of = with_best_passage(questions.select("qid", "query"), "qid", "query", passages, k1, b, block)
+    return of.filter("title is not null").select("qid", "title", "score")
+
+
+def _passage_blocks(spark: SparkSession, passages: DataFrame, k1: float, b: float, block: int) -> Iterator[Block]:
+    """Passages, the few, as blocks of the weights of their tokens."""
     docs = passages.filter("title is not null").select(F.col("title").alias("name"), bm25_tokens(F.concat_ws(" ", "title", "text")).alias("tokens")).persist()
     n, average = docs.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
     average = average or 1.0
-    texts = questions.filter("qid is not null").select("qid", bm25_tokens(F.col("query")).alias("tokens"))
     df = docs.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).persist()
-    out = spark.createDataFrame([], f"qid {dict(questions.dtypes)['qid']}, title string, score double")
+    share = lambda tf, of: tf * (k1 + 1) / (tf + k1 * (1 - b + b * sum(of.values()) / average))
     for held in _blocks(docs, block):
         wanted = spark.createDataFrame([(t,) for t in sorted(set().union(*[of for _, of in held]))], "t string")
         idf = {t: _idf(n, m) for t, m in map(tuple, df.join(F.broadcast(wanted), "t").collect())}
-        share = lambda tf, of: tf * (k1 + 1) / (tf + k1 * (1 - b + b * sum(of.values()) / average))  # noqa: E731, B023
-        made = Block.build([(title, {t: idf[t] * share(m, of) for t, m in of.items()}) for title, of in held])
-        out = out.unionByName(texts.mapInArrow(_best_in(_sent(spark, made)), out.schema))
+        yield Block.build([(title, {t: idf[t] * share(m, of) for t, m in of.items()}) for title, of in held])
     docs.unpersist()
     df.unpersist()
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "title")
-    return out.withColumn("rank", F.row_number().over(order)).filter("rank = 1").select("qid", "title", "score")
 
 
-def _best_in(held):
-    """Each question's best passage of a block."""
+def _better_in(held, qid: int, query: int):
+    """Rows whose last two columns, title and score, become those of their best passage of a block where it is better."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held()
@@ -239,12 +294,17 @@ def _best_in(held):
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))  # of titles, for ties
         for batch in _few(batches):
-            ids, tokens = batch.column(0), batch.column(1).to_pylist()
+            tokens = [[] if q is None else words(t) for q, t in zip(batch.column(qid).to_pylist(), batch.column(query).to_pylist(), strict=True)]
+            *rest, titles, scores = batch.columns
+            titles, scores = titles.to_pylist(), scores.to_pylist()
             for low, high in block.slices(tokens):
                 r, c, s = block.scores(tokens[low:high], lambda tf, row: tf, none, 0.0)
                 r, c, s = r[s > 0], c[s > 0], s[s > 0]
                 by = np.lexsort((place[c], -s, r))
                 first = by[np.flatnonzero(np.r_[True, r[by][1:] != r[by][:-1]])] if len(by) else by
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(low + r[first])), pa.array([block.names[i] for i in c[first].tolist()], pa.string()), pa.array(s[first])], names=["qid", "title", "score"])
+                for k, i, score in zip((low + r[first]).tolist(), c[first].tolist(), s[first].tolist(), strict=True):
+                    if titles[k] is None or (-score, block.names[i]) < (-scores[k], titles[k]):
+                        titles[k], scores[k] = block.names[i], score
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(titles, pa.string()), pa.array(scores, pa.float64())], names=batch.schema.names)
 
     return run

@@ -156,8 +156,8 @@ pairs AS (SELECT d.doc_id, best.item_id, b.text AS pred, d.text AS gold FROM doc
 def _pairs(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("gold"))
     items = table(spark, d, "benchmark").selectExpr("item_id", "concat('item ', item_id) AS title", "text")
-    best = K.best_passage(docs.selectExpr("doc_id AS qid", "gold AS query"), items).select(F.col("qid").alias("doc_id"), "title")
-    return docs.join(best, "doc_id", "left").join(items.select("item_id", "title", F.col("text").alias("pred")), "title", "left").select("doc_id", "item_id", "pred", "gold")
+    best = K.with_best_passage(docs, "doc_id", "gold", items)
+    return best.join(items.select("item_id", "title", F.col("text").alias("pred")), "title", "left").select("doc_id", "item_id", "pred", "gold")
 
 
 def _over(spark, d, tokens, measure, name):

@@ -6,6 +6,7 @@ import string
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans.catalogue import QUERIES
 
@@ -164,3 +165,24 @@ def test_overlaps_by_counts(spark):
     over = O.overlaps(spark.createDataFrame(rows, "i int, k int, a array<string>, b array<string>"), "i", "k")
     got = {r["i"]: tuple(r)[1:] for r in over.select("i", "k", "n_a", "n_b", "same", "a_in_b", O.f1(over).alias("f"), O.recall(over).alias("r")).collect()}
     assert got == {1: (None, 3, 4, 2, 2, pytest.approx(4 / 7), pytest.approx(2 / 3)), 2: (5, 0, 1, 0, 0, 0.0, 0.0), 3: (5, 0, 0, 0, 0, 1.0, 0.0), 4: (6, 1, 0, 0, 0, 0.0, 0.0), 5: (7, 3, 1, 1, 3, 0.5, 1.0)}
+
+
+def test_words_are_the_tokens_of_a_text(spark):
+    from tessera.functions.text import bm25_tokens
+    from tessera.operators.ranking import words
+
+    texts = ["", None, "A-b_c9 Ärgerİx Kelvin z\U0001f600q", "The\tend.\r\n1,5", "日本 L'été"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", bm25_tokens(F.col("t")).alias("w")).collect()
+    assert all(words(r["t"]) == r["w"] for r in rows)
+
+
+def test_best_texts_and_overlaps_shuffle_no_document(spark, whole_dir):
+    """All that moves between tasks is of the few side."""
+    from tessera.operators import overlap as O
+    from tessera.operators import ranking as K
+
+    docs, items = spark.read.parquet(f"{whole_dir}/documents.parquet"), spark.createDataFrame(ITEMS, "title string, text string")
+    best = K.with_best_passage(docs, "doc_id", "text", items)
+    over = O.overlaps(best.selectExpr("doc_id", "split(title, ' ') AS a", "split(text, ' ') AS b"), "doc_id")
+    assert best.columns == [*docs.columns, "title", "score"]
+    assert all("Exchange" not in x._jdf.queryExecution().executedPlan().toString() for x in (best, over))
