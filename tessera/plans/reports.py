@@ -26,13 +26,10 @@ def bootstrap_poisson(spark, d):
 
 @query("WITH l AS (SELECT l_returnflag AS flag, list(l_extendedprice ORDER BY l_extendedprice) AS l FROM lineitem GROUP BY 1) SELECT flag, q, l[floor(len(l) * q)::INT + 1] AS value FROM l, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) v(q)")
 def index_quantiles_by_flag(spark, d):
-    from functools import reduce
-
     from tessera.plans.views import table
 
-    rows = table(spark, d, "lineitem")
-    of = [S.index_quantile(rows.filter(F.col("l_returnflag") == f), "l_extendedprice", [0.5, 0.9, 0.99]).select(F.lit(f).alias("flag"), "q", "value") for f in ("A", "N", "R")]
-    return reduce(lambda x, y: x.unionByName(y), of)
+    of = S.index_quantiles_by(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", [0.5, 0.9, 0.99])
+    return of.withColumnsRenamed({"l_returnflag": "flag", "l_extendedprice": "value"})
 
 
 #: The draw's ranges with three faults: train lacks its last ten, dev holds five of test, and two of test changed places.

@@ -42,6 +42,16 @@ def test_index_quantiles_without_a_sort(spark, values):
     assert sorted(map(tuple, index_quantile(rows, "x", qs, fan=4, few=5).collect())) == want
 
 
+def test_quantiles_of_all_groups_at_once(spark):
+    from tessera.operators.selection import index_quantiles_by
+
+    of = {"a": [float(i * 37 % 1000) for i in range(800)], "b": [7.0] * 50 + [1.0, 9.0], None: [5.0], "c": [None]}
+    rows = spark.createDataFrame([(g, v) for g, vs in of.items() for v in vs], "g string, x double").repartition(3)
+    want = {(g, q, sorted(vs)[min(int(len(vs) * q), len(vs) - 1)]) for g, vs in of.items() if g != "c" for q in (0.0, 0.5, 0.9, 1.0)}
+    assert set(map(tuple, index_quantiles_by(rows, "g", "x", [0.0, 0.5, 0.9, 1.0], fan=4, few=5).collect())) == want
+    assert index_quantiles_by(rows.limit(0), "g", "x", [0.5]).count() == 0
+
+
 def plain_bootstrap(pairs, draws, low, high):
     import hashlib
 
