@@ -15,7 +15,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 from unicodedata import category
@@ -30,10 +30,13 @@ from tessera.llm.common import bound_batches, forget, pieces, scratch
 #: Ids in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH = 2048, 64
 END_ID = 2
-#: Distinct blank-separated pieces whose ids a worker remembers before it forgets the older half.
-CACHE = 600_000
-#: Words that are given to the library as one text.
-JOINED = 64
+#: Distinct blank-separated pieces, and words, whose ids a worker remembers before it forgets those asked for once, and
+#: the length above which one isn't remembered. With these a worker's memory doesn't grow with the table.
+CACHE, LONGEST = 200_000, 64
+#: Bytes of texts, and characters of a long one, that are cut to pieces at a time.
+SLICE = 2 << 20
+#: Words that are given to the library as one text, and texts given to it at a time: its results are large.
+JOINED, LOT = 64, 512
 MANIFEST = "part int, tokens string, documents string, n_docs long, n_tokens long"
 
 #: Cut of a lower-cased piece, and the normalizer, pre-tokenizer and model settings of a vocabulary file that cuts and
@@ -50,6 +53,28 @@ def schemas(sequence: int, wide: bool) -> tuple[pa.Schema, pa.Schema]:
     return tokens, pa.schema([pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64(), False)])
 
 
+class Memory:
+    """Ids of strings, bounded: beyond CACHE all go that were not asked for again, and the older half of a CACHE of the others."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, bytes] = {}
+        self.again: set[str] = set()
+
+    def missing(self, wanted: set[str]) -> set[str]:
+        if len(self.ids) > CACHE:
+            self.ids = {x: self.ids[x] for x in self.ids if x in self.again}
+            self.again = set()
+            forget(self.ids, CACHE // 2)
+        new = wanted.difference(self.ids)
+        self.again |= wanted - new
+        return new
+
+    def drop_long(self, new: Iterable[str]) -> None:
+        for x in new:
+            if len(x) > LONGEST:
+                del self.ids[x]
+
+
 class Encoder:
     """Ids of texts as little-endian bytes of 2 or 4 each, by the tokenizers library.
 
@@ -65,7 +90,9 @@ class Encoder:
         from tokenizers.normalizers import Sequence
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.tokenizer, self.words_only = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        # the same model, not one more; added tokens are left out, as words come from pieces that hold none
+        self.words_only = Tokenizer(self.tokenizer.model)
         self.words_only.normalizer, self.words_only.pre_tokenizer = Sequence([]), WhitespaceSplit()
         for t in (self.tokenizer, self.words_only):
             t.no_truncation()
@@ -77,14 +104,14 @@ class Encoder:
             held = json.load(f)
         model = held["model"]
         self.by_piece = (held["normalizer"], held["pre_tokenizer"], model["type"], model.get("end_of_word_suffix")) == (NORMALIZER, CUTTER, "BPE", WORD_END)
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
         kinds = {k: "".join(re.escape(c) for c in map(chr, range(33, 0x250)) if c.isprintable() and category(c)[0] == k) for k in "LN"}
         # PATTERN for the characters that plain knows, which are composed and printable
         self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^\s{kinds['L']}{kinds['N']}]+").findall
         self.odd = re.compile(r"[^\n\x20-\x7e\xa1-\xac\xae-\u024f]|<\|").search
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known, self.words = Memory(), Memory()
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = (b for b in range(256) if b not in set(visible))
         self.letters = {b: b for b in visible} | {b: 256 + i for i, b in enumerate(hidden)}
@@ -92,46 +119,72 @@ class Encoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return array("I" if self.wide else "H", ids).tobytes()
 
+    def _ids(self, texts: list[str], words_only: bool = False) -> Iterator[list[int]]:
+        """Ids of each text; the library's results, which are far larger, are there for LOT texts at a time."""
+        tokenizer = self.words_only if words_only else self.tokenizer
+        for i in range(0, len(texts), LOT):
+            yield from (e.ids for e in tokenizer.encode_batch_fast(texts[i : i + LOT], add_special_tokens=False))
+
     def _spell(self, words: list[str]) -> None:
         """Remember the ids of new words: JOINED of them are one text to the library, whose words end where ids say so."""
         plain = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words]
         texts = [" ".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
-        ids = np.fromiter(chain.from_iterable(e.ids for e in self.words_only.encode_batch_fast(texts, add_special_tokens=False)), np.int64)
+        ids = np.fromiter(chain.from_iterable(self._ids(texts, True)), np.int64)
         stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
         if len(stops) != len(words):
             raise ValueError("the vocabulary has no word ends")
         raw, begin = ids.astype(self.kind).tobytes(), 0
         for w, stop in zip(words, stops, strict=True):
-            self.words[w] = raw[begin:stop]
+            self.words.ids[w] = raw[begin:stop]
             begin = stop
 
     def _learn(self, new: set[str]) -> None:
         one, more, rest, odd, cut = [], [], [], self.odd, self.cut
         for piece in new:
             low = piece.lower()
+            if low == piece:
+                low = piece  # one string for both caches
             if low.isalpha() and (low.isascii() or not odd(piece)):
                 one.append((piece, low))
             elif not odd(piece):
                 more.append((piece, cut(low)))
             else:
                 rest.append(piece)
-        words = self.words
-        self._spell([w for w in {w for _, w in one}.union(*[x for _, x in more]) if w not in words])
-        self.known.update((piece, words[w]) for piece, w in one)
+        unknown = list(self.words.missing({w for _, w in one}.union(*[x for _, x in more])))
+        self._spell(unknown)
+        known, words = self.known.ids, self.words.ids
+        known.update((piece, words[w]) for piece, w in one)
         get = words.__getitem__
-        self.known.update((piece, b"".join(map(get, x))) for piece, x in more)
-        for got, piece in zip(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), rest, strict=True):
-            self.known[piece] = self._bytes(got.ids)
+        known.update((piece, b"".join(map(get, x))) for piece, x in more)
+        for got, piece in zip(self._ids(rest), rest, strict=True):
+            known[piece] = self._bytes(got)
+        self.words.drop_long(unknown)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        texts = [t or "" for t in texts]
         if not self.by_piece:
-            return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        split = [(t or "").split(" ") for t in texts]
-        for held in (self.known, self.words):
-            forget(held, CACHE)
-        self._learn(set(chain.from_iterable(split)) - self.known.keys())
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+            return [self._bytes(x) for x in self._ids(texts)]
+        if max(map(len, texts), default=0) > SLICE:
+            return [b"".join(self._by_piece([x])[0] for x in stretches(t, SLICE)) for t in texts]
+        return self._by_piece(texts)
+
+    def _by_piece(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") for t in texts]
+        new = self.known.missing(set(chain.from_iterable(split)))
+        self._learn(new)
+        get = self.known.ids.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        self.known.drop_long(new)
+        return out
+
+
+def stretches(text: str, n: int) -> Iterator[str]:
+    """text cut at blanks, which go, into stretches of n characters or what more it takes to the next blank."""
+    at = 0
+    while (cut := text.find(" ", at + n)) >= 0:
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
 
 
 @lru_cache(maxsize=1)
@@ -220,7 +273,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, sequence: int = SEQUEN
         task = TaskContext.get()
         encoder, packer = worker_encoder(path), None
         for batch in batches:
-            for piece in pieces(batch, 1):
+            for piece in pieces(batch, 1, SLICE):
                 packer = packer or Packer(folder, task.partitionId(), str(task.taskAttemptId()), sequence, encoder.wide)
                 packer.add(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()))
         if packer:
@@ -286,7 +339,11 @@ def with_starts(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     for r in rows:
         out.append((*r, start))
         start += r["n_tokens"]
-    df = spark.createDataFrame(out, MANIFEST + ", start long")
+    # as an Arrow table, which the JVM reads: rows would start one more Python worker for each core
+    columns = zip(*out, strict=True) if out else [[] for _ in range(6)]
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["part", "tokens", "documents", "n_docs", "n_tokens", "start"]
+    df = spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names))
     return df.repartition(max(1, min(len(out), spark.sparkContext.defaultParallelism * 4)))
 
 

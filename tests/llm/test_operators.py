@@ -524,3 +524,31 @@ def test_encoder_of_random_strings():
     own, encoder, r = Tokenizer.from_file(path), token_files.Encoder(path), random.Random(3)
     texts = ["".join(r.choice("abÀé́İ '\n\t 1日 !<|> 　sll.,\x1c") for _ in range(r.randint(0, 40))) for _ in range(2000)] + ["<|endoftext|>a b<|startoftext|>"]
     assert encoder.encode(texts) == [np.asarray(e.ids, "<u2").tobytes() for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoder_holds_no_more_with_more_words():
+    import tracemalloc
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    slices = [[" ".join(str(k).translate(letters) for k in range(i, i + 20_000))] for i in range(0, 400_000, 20_000)] + [[f"{'xy' * 50_000} {i}{'-' * 50_000}"] for i in range(20)]
+    held = []
+    tracemalloc.start()
+    for texts in slices:
+        encoder.encode(texts)
+        held.append(tracemalloc.get_traced_memory()[0])
+    tracemalloc.stop()
+    assert max(held) < 60 << 20 and held[-1] - held[-20] < 1 << 20
+    for texts in (slices[0], slices[12], slices[-1]):
+        assert encoder.encode(texts) == [np.asarray(e.ids, "<u2").tobytes() for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoder_cuts_long_texts(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+    monkeypatch.setattr(token_files, "SLICE", 9)
+    monkeypatch.setattr(token_files, "CACHE", 20)
+    texts = [t or "" for _, t in corpus()] + ["a  b   ", " " * 30, "x" * 30, "x" * 9 + " ", "<|endoftext|> <|endoftext|>"]
+    assert encoder.encode(texts) == [np.asarray(e.ids, "<u2").tobytes() for e in own.encode_batch(texts, add_special_tokens=False)]
+    assert [list(token_files.stretches(t, 3)) for t in ("", "abc d", "abcd", "a b c d ", "    ")] == [[""], ["abc", "d"], ["abcd"], ["a b", "c d", ""], ["   ", ""]]
