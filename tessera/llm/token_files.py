@@ -17,7 +17,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 from unicodedata import category
 
 import numpy as np
@@ -30,21 +30,23 @@ from tessera.llm.common import bound_batches, forget, pieces, scratch
 #: Ids in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH = 2048, 64
 END_ID = 2
-#: Distinct blank-separated pieces, and words, whose ids a worker remembers before it forgets those asked for once, and
-#: the length above which one isn't remembered. With these a worker's memory doesn't grow with the table.
+#: Distinct words whose ids a worker remembers before it forgets those asked for once, and the length above which one
+#: isn't remembered. With these a worker's memory doesn't grow with the table.
 CACHE, LONGEST = 200_000, 64
-#: Bytes of texts, and characters of a long one, that are cut to pieces at a time.
+#: Bytes of texts, and characters of a long one, that are cut to words at a time.
 SLICE = 2 << 20
 #: Words that are given to the library as one text, and texts given to it at a time: its results are large.
 JOINED, LOT = 64, 512
 MANIFEST = "part int, tokens string, documents string, n_docs long, n_tokens long"
 
-#: Cut of a lower-cased piece, and the normalizer, pre-tokenizer and model settings of a vocabulary file that cuts and
-#: lower-cases pieces like that. Fixed values, the tokenizer file's.
+#: Cut of a lower-cased text, and the normalizer, pre-tokenizer and model settings of a vocabulary file that cuts and
+#: lower-cases texts like that. Fixed values, the tokenizer file's.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 CUTTER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 WORD_END = "</w>"
+#: Kinds of characters: what PATTERN tells apart, and those that are not cut here.
+BLANK, LETTER, NUMBER, SYMBOL, ODD = range(5)
 
 
 def schemas(sequence: int, wide: bool) -> tuple[pa.Schema, pa.Schema]:
@@ -78,10 +80,11 @@ class Memory:
 class Encoder:
     """Ids of texts as little-endian bytes of 2 or 4 each, by the tokenizers library.
 
-    Where a file's settings are NORMALIZER and CUTTER, nothing joins what a blank separates, so each blank-separated
-    piece is encoded once and its ids are remembered. Printable Latin pieces in composed form are then lower-cased and
-    cut here, and their new words go to the library's model many at a time; all other pieces take the library's whole
-    way. With any other file whole texts do.
+    Where a file's settings are NORMALIZER and CUTTER, texts of printable Latin characters in composed form are
+    lower-cased and cut to words here, many at a time; Arrow numbers the distinct words, new ones go to the library's
+    model many at a time, and their ids are remembered. There are far fewer words than blank-separated pieces, which
+    differ in case and punctuation too. Pieces with other characters take the library's whole way and are remembered as
+    they are, as nothing joins what a blank separates. With any other file whole texts take it.
     """
 
     def __init__(self, path: str) -> None:
@@ -103,15 +106,21 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
         model = held["model"]
-        self.by_piece = (held["normalizer"], held["pre_tokenizer"], model["type"], model.get("end_of_word_suffix")) == (NORMALIZER, CUTTER, "BPE", WORD_END)
+        self.by_word = (held["normalizer"], held["pre_tokenizer"], model["type"], model.get("end_of_word_suffix")) == (NORMALIZER, CUTTER, "BPE", WORD_END)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
-        kinds = {k: "".join(re.escape(c) for c in map(chr, range(33, 0x250)) if c.isprintable() and category(c)[0] == k) for k in "LN"}
-        # PATTERN for the characters that plain knows, which are composed and printable
-        self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^\s{kinds['L']}{kinds['N']}]+").findall
-        self.odd = re.compile(r"[^\n\x20-\x7e\xa1-\xac\xae-\u024f]|<\|").search
-        self.known, self.words = Memory(), Memory()
+        # the characters that are cut here are composed, and their lower case is among them, of the same kind and length
+        printable = [c for c in map(chr, range(33, 0x250)) if c.isprintable()]
+        plain = [c for c in printable if c.lower() in printable and len(c.lower().encode()) == len(c.encode())]
+        self.odd = re.compile(rf"[^\n {''.join(map(re.escape, plain))}]|<\|").search
+        self.kinds = np.full(0x800, ODD, np.uint8)
+        self.kinds[[10, 32]] = BLANK
+        self.kinds[[ord(c) for c in plain]] = [{"L": LETTER, "N": NUMBER}.get(category(c)[0], SYMBOL) for c in plain]
+        # by byte: those that begin longer characters are odd
+        self.bytes = np.concatenate([self.kinds[:128], np.full(128, BLANK, np.uint8)])
+        self.bytes[224:] = ODD
+        self.known = Memory()
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = (b for b in range(256) if b not in set(visible))
         self.letters = {b: b for b in visible} | {b: 256 + i for i, b in enumerate(hidden)}
@@ -135,47 +144,83 @@ class Encoder:
             raise ValueError("the vocabulary has no word ends")
         raw, begin = ids.astype(self.kind).tobytes(), 0
         for w, stop in zip(words, stops, strict=True):
-            self.words.ids[w] = raw[begin:stop]
+            self.known.ids[w] = raw[begin:stop]
             begin = stop
 
     def _learn(self, new: set[str]) -> None:
-        one, more, rest, odd, cut = [], [], [], self.odd, self.cut
-        for piece in new:
-            low = piece.lower()
-            if low == piece:
-                low = piece  # one string for both caches
-            if low.isalpha() and (low.isascii() or not odd(piece)):
-                one.append((piece, low))
-            elif not odd(piece):
-                more.append((piece, cut(low)))
-            else:
-                rest.append(piece)
-        unknown = list(self.words.missing({w for _, w in one}.union(*[x for _, x in more])))
-        self._spell(unknown)
-        known, words = self.known.ids, self.words.ids
-        known.update((piece, words[w]) for piece, w in one)
-        get = words.__getitem__
-        known.update((piece, b"".join(map(get, x))) for piece, x in more)
+        rest = list(filter(self.odd, new))
+        self._spell(list(new.difference(rest)))
         for got, piece in zip(self._ids(rest), rest, strict=True):
-            known[piece] = self._bytes(got)
-        self.words.drop_long(unknown)
+            self.known.ids[piece] = self._bytes(got)
+
+    def _kinds(self, raw: np.ndarray) -> np.ndarray:
+        """The kind of the character that each byte is of."""
+        kinds = self.bytes[raw]
+        two = np.flatnonzero((raw >= 192) & (raw < 224))
+        kinds[two] = kinds[two + 1] = self.kinds[(raw[two] & 31).astype(np.int16) << 6 | raw[two + 1] & 63]
+        return kinds
+
+    def _hide(self, texts: list[str]) -> tuple[list[str], list[str], list[int]]:
+        """texts with an odd character in place of each piece that has one, those distinct pieces, and their numbers in order."""
+        split = {i: t.split(" ") for i, t in enumerate(texts) if self.odd(t)}
+        odd = {x: n for n, x in enumerate(filter(self.odd, set(chain.from_iterable(split.values()))))}
+        order = [odd[x] for x in chain.from_iterable(split.values()) if x in odd]
+        return [" ".join(["\0" if x in odd else x for x in split[i]]) if i in split else t for i, t in enumerate(texts)], list(odd), order
+
+    def _cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct words of texts by PATTERN and odd pieces, their numbers in order, and how many stand before each text's end."""
+        hidden, order = [], []
+        joined = "\n".join([*texts, ""])
+        kinds = self._kinds(np.frombuffer(joined.encode(), np.uint8))
+        if "<|" in joined or (kinds == ODD).any():
+            texts, hidden, order = self._hide(texts)
+            joined = "\n".join([*texts, ""])
+            kinds = self._kinds(np.frombuffer(joined.encode(), np.uint8))
+        raw = np.frombuffer(joined.lower().encode(), np.uint8)
+        begins = kinds == NUMBER
+        begins[0] = True
+        begins[1:] |= kinds[1:] != kinds[:-1]
+        begins[(raw & 192) == 128] = False
+        # an apostrophe that begins a run of symbols and the letters after it that PATTERN names are a word
+        at = np.flatnonzero((raw[:-1] == ord("'")) & begins[:-1] & (kinds[1:] == LETTER))
+        first, second = raw[at + 1], raw[at + 2]
+        ends = np.where(np.isin(first, list(b"stmd")), 2, 0)
+        for a, b in (b"re", b"ve", b"ll"):
+            ends[(first == a) & (second == b)] = 3
+        at, ends = at[ends > 0], ends[ends > 0]
+        begins[at + 1] = False
+        begins[at + ends] = True
+        held = kinds != BLANK
+        begins &= held
+        offsets = np.append(np.flatnonzero(begins[held]), held.sum()).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(raw[held])).dictionary_encode()
+        distinct, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        if hidden:
+            at = distinct.index("\0")
+            index = index.copy()
+            index[index == at] = np.add(order, len(distinct))
+            distinct[at] = hidden[0]  # no word has this number any more
+            distinct += hidden
+        stops = np.cumsum([len(t.encode()) + 1 for t in texts]) - 1
+        return distinct, index, np.cumsum(begins)[stops]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        if not self.by_piece:
+        if not self.by_word:
             return [self._bytes(x) for x in self._ids(texts)]
         if max(map(len, texts), default=0) > SLICE:
-            return [b"".join(self._by_piece([x])[0] for x in stretches(t, SLICE)) for t in texts]
-        return self._by_piece(texts)
+            return [b"".join(self._encode([x])[0] for x in stretches(t, SLICE)) for t in texts]
+        return self._encode(texts) if texts else []
 
-    def _by_piece(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        new = self.known.missing(set(chain.from_iterable(split)))
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        distinct, index, stops = self._cut(texts)
+        new = self.known.missing(set(distinct))
         self._learn(new)
-        get = self.known.ids.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
+        ids = pa.array(map(self.known.ids.__getitem__, distinct), pa.binary()).take(pa.array(index))
         self.known.drop_long(new)
-        return out
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[np.append(0, stops)].tolist()
+        raw = ids.buffers()[2].to_pybytes() if ends[-1] else b""
+        return [raw[a:b] for a, b in pairwise(ends)]
 
 
 def stretches(text: str, n: int) -> Iterator[str]:

@@ -552,3 +552,24 @@ def test_encoder_cuts_long_texts(monkeypatch):
     texts = [t or "" for _, t in corpus()] + ["a  b   ", " " * 30, "x" * 30, "x" * 9 + " ", "<|endoftext|> <|endoftext|>"]
     assert encoder.encode(texts) == [np.asarray(e.ids, "<u2").tobytes() for e in own.encode_batch(texts, add_special_tokens=False)]
     assert [list(token_files.stretches(t, 3)) for t in ("", "abc d", "abcd", "a b c d ", "    ")] == [[""], ["abc", "d"], ["abcd"], ["a b", "c d", ""], ["   ", ""]]
+
+
+def test_encoder_remembers_words_however_pieces_write_them():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+    words = [a + b + c for a in ("ba", "do", "ké") for b in ("ri", "lu", "ßa") for c in ("n", "mo", "ti")]
+    shapes = ["{}", "{},", "{}.", "({})", '"{}"', "{}'s", "{}\nand", "-{}-", "{}/{}"]
+    texts = [" ".join(s.format(w, w) for s in shapes for w in (word, word.title(), word.upper())) for word in words]
+    assert encoder.encode(texts) == [np.asarray(e.ids, "<u2").tobytes() for e in own.encode_batch(texts, add_special_tokens=False)]
+    assert len(encoder.known.ids) < 2 * len(words)
+
+
+def test_encoder_cuts_as_the_library_does():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, encoder, r = Tokenizer.from_file(path), token_files.Encoder(path), random.Random(5)
+    letters = [c for c in map(chr, range(0x260)) if c.isprintable()]
+    texts = [f"a{c}! {c}{c}1{c} '{c} {c}'s" for c in letters] + ["".join(r.choice("'srevldtmS1² \nxé!-") for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    texts += ["", "'", "'s", "'re", "x'll'd", "''s", "\0", "\0 a \0", "a <| b", "日本 a's 日本", "\n", " "]
+    ids = [np.asarray(e.ids, "<u2").tobytes() for e in own.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == ids
+    assert [encoder.encode([t])[0] for t in texts[-400:]] == ids[-400:] and encoder.encode([]) == [] and encoder.encode([None, ""]) == [b"", b""]
